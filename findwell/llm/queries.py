@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from findwell.llm.fingerprints import op8_fingerprints
 from findwell.llm.language import op6_language
 from findwell.llm.mixing import op5_mix_sources
 from findwell.llm.packing import op1_pack
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_language": op6_language,
     "op7_token_files": op7_token_files,
+    "op8_fingerprints": op8_fingerprints,
 }
 
 #: None of these can be written as SQL; tests hold them against brute force instead.
