@@ -5,6 +5,7 @@ from __future__ import annotations
 from findwell.llm.fingerprints import op8_fingerprints
 from findwell.llm.language import op6_language
 from findwell.llm.mixing import op5_mix_sources
+from findwell.llm.neighbours import op9_neighbours
 from findwell.llm.packing import op1_pack
 from findwell.llm.token_files import op7_token_files
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_language": op6_language,
     "op7_token_files": op7_token_files,
     "op8_fingerprints": op8_fingerprints,
+    "op9_neighbours": op9_neighbours,
 }
 
 #: None of these can be written as SQL; tests hold them against brute force instead.
