@@ -150,3 +150,80 @@ def grams(ids: np.ndarray, k: int) -> np.ndarray:
         acc = acc * _ODD
         acc ^= ids[j : j + n] + (acc >> np.uint64(29))
     return mix(acc)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_P = 0x9E3779B97F4A7C15 | 1
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, remembered by rounded-up length."""
+    size = 1 << max(16, (n - 1).bit_length())
+    if size not in _POWERS:
+        _POWERS.clear()
+        out = []
+        for base in (_P, pow(_P, -1, 1 << 64)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        _POWERS[size] = (out[0], out[1])
+    return _POWERS[size]
+
+
+class Words:
+    """The words of several texts as hashes, found without a Python object for each.
+
+    ``hash``: one 64-bit hash a word; ``begin``, ``end``: its bytes in ``raw``, the UTF-8 of all
+    texts with a line end after each; ``first``: the index of each text's first word, and after
+    them the number of words; ``base``: each text's first byte.
+    """
+
+    def __init__(self, texts: list[str]):
+        coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+        joined = b"\n".join([*coded, b""])
+        self.raw = np.frombuffer(joined, np.uint8)
+        self.base = np.cumsum([0, *[len(c) + 1 for c in coded]])
+        word = ~_SPACE[self.raw]
+        edge = np.flatnonzero(np.diff(word.astype(np.int8), prepend=np.int8(0)))
+        self.begin, self.end = edge[0::2], edge[1::2]
+        up, down = _powers(len(self.raw) + 1)
+        sums = np.zeros(len(self.raw) + 1, np.uint64)
+        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * up[: len(self.raw)], out=sums[1:])
+        h = (sums[self.end] - sums[self.begin]) * down[self.begin]
+        self.hash = mix(h ^ ((self.end - self.begin).astype(np.uint64) << np.uint64(40)))
+        self.first = np.searchsorted(self.begin, self.base)
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of k-grams, place of each text's first): those that cross texts are left out.
+        A text of 1 to k - 1 words has none."""
+        g = grams(self.hash, k)
+        n = np.maximum(np.diff(self.first) - (k - 1), 0)
+        keep = np.repeat(self.first[:-1], n) + _ramp(n)
+        return g[keep], np.cumsum([0, *n])
+
+
+def _ramp(n: np.ndarray) -> np.ndarray:
+    """0..n[0]-1, 0..n[1]-1, ..."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, label) for the nodes of ``edges`` (a long, b long): the smallest node that a node is
+    connected with. Each round takes the least label among neighbours, then that label's own."""
+    both = scratch.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-both")
+    labels = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), f"{name}-0")
+    step = 0
+    while True:
+        step += 1
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        own = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
+        new = scratch.keep(low.join(own, "label").select("node", F.least("label", "jump").alias("label"), "old"), f"{name}-{step}")
+        scratch.drop(f"{name}-{step - 1}")
+        changed = new.where("label < old").limit(1).count()
+        labels = new.select("node", "label")
+        if not changed:
+            return labels

@@ -5,12 +5,14 @@ from __future__ import annotations
 from findwell.llm.fingerprints import op8_fingerprints
 from findwell.llm.language import op6_language
 from findwell.llm.mixing import op5_mix_sources
+from findwell.llm.near_dedup import op2_near_dedup
 from findwell.llm.neighbours import op9_neighbours
 from findwell.llm.packing import op1_pack
 from findwell.llm.token_files import op7_token_files
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op2_near_dedup": op2_near_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_language": op6_language,
     "op7_token_files": op7_token_files,
