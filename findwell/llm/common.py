@@ -9,6 +9,7 @@ cost the tasks that they held.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -60,7 +61,11 @@ class Scratch:
         """Write ``df`` as a table and return the reread table."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        del df
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files that nothing needs any more
+        return out
 
     def drop(self, name: str) -> None:
         _remove(self.spark, f"{self.root}/{name}")
