@@ -9,12 +9,14 @@ from findwell.llm.near_dedup import op2_near_dedup
 from findwell.llm.neighbours import op9_neighbours
 from findwell.llm.packing import op1_pack
 from findwell.llm.substrings import op3_substrings
+from findwell.llm.suffixes import op4_suffixes
 from findwell.llm.token_files import op7_token_files
 
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_near_dedup": op2_near_dedup,
     "op3_substrings": op3_substrings,
+    "op4_suffixes": op4_suffixes,
     "op5_mix_sources": op5_mix_sources,
     "op6_language": op6_language,
     "op7_token_files": op7_token_files,
