@@ -8,6 +8,7 @@ from findwell.llm.mixing import op5_mix_sources
 from findwell.llm.near_dedup import op2_near_dedup
 from findwell.llm.neighbours import op9_neighbours
 from findwell.llm.packing import op1_pack
+from findwell.llm.quotations import op10_quotations
 from findwell.llm.substrings import op3_substrings
 from findwell.llm.suffixes import op4_suffixes
 from findwell.llm.token_files import op7_token_files
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_token_files": op7_token_files,
     "op8_fingerprints": op8_fingerprints,
     "op9_neighbours": op9_neighbours,
+    "op10_quotations": op10_quotations,
 }
 
 #: None of these can be written as SQL; tests hold them against brute force instead.
