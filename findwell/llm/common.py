@@ -57,14 +57,16 @@ class Scratch:
         except Exception:  # the session has ended: nothing left to ask
             pass
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as a table and return the reread table."""
+    def keep(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """Write ``df`` as a table and return the reread table. ``free``: large shuffles lie behind
+        it, whose files can go now."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        del df
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files that nothing needs any more
+        if free:
+            del df
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()  # Spark drops the files of shuffles that are garbage
         return out
 
     def drop(self, name: str) -> None:
@@ -177,6 +179,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
+#: Bytes hashed at a time: bounds the arrays that a very long text needs.
+_BLOCK = 1 << 20
+
+
 class Words:
     """The words of several texts as hashes, found without a Python object for each.
 
@@ -190,16 +196,25 @@ class Words:
         joined = b"\n".join([*coded, b""])
         self.raw = np.frombuffer(joined, np.uint8)
         self.base = np.cumsum([0, *[len(c) + 1 for c in coded]])
-        word = ~_SPACE[self.raw]
-        edge = np.flatnonzero(np.diff(word.astype(np.int8), prepend=np.int8(0)))
-        self.begin, self.end = edge[0::2], edge[1::2]
-        up, down = _powers(len(self.raw) + 1)
-        sums = np.zeros(len(self.raw) + 1, np.uint64)
-        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * up[: len(self.raw)], out=sums[1:])
-        h = (sums[self.end] - sums[self.begin]) * down[self.begin]
-        self.hash = mix(h ^ ((self.end - self.begin).astype(np.uint64) << np.uint64(40)))
+        cuts = [0]
+        while cuts[-1] < len(self.raw):  # blocks end with white space, so that no word is cut
+            at = min(cuts[-1] + _BLOCK, len(self.raw)) - 1
+            cuts.append(at + 1 + int(_SPACE[self.raw[at:]].argmax()))
+        found = [self._block(a, z) for a, z in zip(cuts, cuts[1:], strict=False)]
+        self.begin, self.end, self.hash = (np.concatenate(x) if found else np.zeros(0, k) for x, k in zip(zip(*found, strict=True) if found else ((),) * 3, (np.int64, np.int64, np.uint64), strict=True))
         self.first = np.searchsorted(self.begin, self.base)
 
+    def _block(self, a: int, z: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, hash) of the words in one block of ``raw``."""
+        raw = self.raw[a:z]
+        edge = np.flatnonzero(np.diff((~_SPACE[raw]).astype(np.int8), prepend=np.int8(0)))
+        begin, end = edge[0::2], edge[1::2]
+        up, down = _powers(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+        h = (sums[end] - sums[begin]) * down[begin]
+        return begin + a, end + a, mix(h ^ ((end - begin).astype(np.uint64) << np.uint64(40)))
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of k-grams, place of each text's first): those that cross texts are left out.
         A text of 1 to k - 1 words has none."""

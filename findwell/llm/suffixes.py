@@ -100,15 +100,36 @@ def _coded(column) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
+def _segments(docs: list, column) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(doc, offset, bytes) in groups of about BATCH bytes. A longer text is cut into segments that
+    overlap by LENGTH - 1 bytes, so that every start lies in one of them."""
+    ids, offs, held, size = [], [], [], 0
+    for doc, raw in zip(docs, _coded(column), strict=True):
+        for off in range(0, max(len(raw) - LENGTH + 1, 1), BATCH):
+            piece = raw[off : off + BATCH + LENGTH - 1]
+            ids.append(doc)
+            offs.append(off)
+            held.append(piece)
+            size += len(piece)
+            if size >= BATCH:
+                yield np.array(ids, np.int64), np.array(offs, np.int64), held
+                ids, offs, held, size = [], [], [], 0
+    if held:
+        yield np.array(ids, np.int64), np.array(offs, np.int64), held
+
+
 def _frequent(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for i, t in enumerate(batches(it, BATCH)):
         if i % SHARE:
             continue
-        r = Runs(_coded(t.column("text")))
-        pairs = np.unique(np.stack([r.anchor, r.content]), axis=1) if len(r.anchor) else np.zeros((2, 0), np.uint64)
-        a, n = np.unique(pairs[0], return_counts=True)
-        keep = n >= 8
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(a[keep], np.uint64(0)).view(np.int64)), pa.array(np.append(n[keep], -len(r.anchor)))], names=["anchor", "n"])
+        for _, _, group in _segments([0] * t.num_rows, t.column("text")):
+            r = Runs(group)
+            order = np.lexsort((r.content, r.anchor))
+            a, c = r.anchor[order], r.content[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])) if len(a) else np.zeros(0, bool)
+            a, n = np.unique(a[new], return_counts=True)
+            keep = n >= 8
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(a[keep], np.uint64(0)).view(np.int64)), pa.array(np.append(n[keep], -len(r.anchor)))], names=["anchor", "n"])
 
 
 def frequent_anchors(plain: DataFrame) -> np.ndarray:
@@ -157,11 +178,11 @@ def _runs(buckets: int, hot):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = hot.value
-        for t in batches(it, BATCH):
-            r = Runs(_coded(t.column("text")))
+        for ids, offs, group in (g for t in batches(it, BATCH) for g in _segments(t.column("doc_id").to_pylist(), t.column("text"))):
+            r = Runs(group)
             if not len(r.anchor):
                 continue
-            ids = t.column("doc_id").to_numpy()
+            r.start = r.start + offs[r.text]
             head, later = _first(r.anchor, r.content, ids[r.text], r.start)
             gone = _joined(ids[r.text[later]], r.start[later], r.start[later] + r.count[later] + LENGTH - 1)
             a, c, d, s, n = r.anchor[head], r.content[head], ids[r.text[head]], r.start[head], r.count[head]
@@ -169,7 +190,7 @@ def _runs(buckets: int, hot):
             if many.any():  # one record a string, each string its own anchor
                 k = n[many]
                 step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                begin = np.repeat(r.base[r.text[head[many]]] + s[many], k) + step
+                begin = np.repeat(r.base[r.text[head[many]]] + s[many] - offs[r.text[head[many]]], k) + step
                 h = r.string(begin, begin + LENGTH)
                 more = (h, h, np.repeat(d[many], k), np.repeat(s[many], k) + step, np.ones(len(h), np.int64))
                 hh, ll = _first(*more[:4])
@@ -301,11 +322,11 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     hot = spark.sparkContext.broadcast(frequent_anchors(plain))
     buckets = 4 * width(spark)
     runs = plain.mapInArrow(_runs(buckets, hot), _RUNS)
-    found = scratch.keep(runs.groupBy("bucket").applyInArrow(_settle, _FOUND_SQL), "found")
+    found = scratch.keep(runs.groupBy("bucket").applyInArrow(_settle, _FOUND_SQL), "found", free=True)
     wanted = found.where("anchor is not null").groupBy("doc").agg(F.collect_list(F.struct("anchor", "begin", "end")).alias("wanted"))
-    cut = scratch.keep(wanted.join(plain, F.col("doc") == F.col("doc_id")).select("doc", "text", "wanted").mapInArrow(_cut, "anchor long, doc long, begin long, bytes binary"), "cut")
+    cut = scratch.keep(wanted.join(plain, F.col("doc") == F.col("doc_id")).select("doc", "text", "wanted").mapInArrow(_cut, "anchor long, doc long, begin long, bytes binary"), "cut", free=True)
     merged = cut.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(buckets))).applyInArrow(_merge, "doc long, begin long, end long")
-    merged = scratch.keep(merged, "merged")
+    merged = scratch.keep(merged, "merged", free=True)
     scratch.drop("cut")
     return found.where("anchor is null").select("doc", "begin", "end").unionByName(merged)
 

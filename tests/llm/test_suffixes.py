@@ -42,8 +42,11 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("always", [False, True])
+@pytest.mark.parametrize("always", [False, True, "segments"])
 def test_against_dictionary(spark, monkeypatch, always):
+    if always == "segments":
+        monkeypatch.setattr(suffixes, "BATCH", 128)
+        always = False
     if always:  # every anchor settled string by string
         real = suffixes.Runs
         every = lambda plain: np.unique(np.concatenate([real([(t or "").encode()]).anchor for _, t in corpus(3)]))
