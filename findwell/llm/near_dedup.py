@@ -10,9 +10,10 @@ is also a guest of the next one, so that every pair that can be linked shares a
 partition the containment threshold becomes the least Jaccard index that a linked pair of its
 sizes can have, and banding is tuned to that. Documents with the same words in order are one node
 from the start, whatever their number. In every band bucket one node, the centre, is checked
-against all others, on whole shingle sets; then, as long as a bucket holds a node whose class has
-had no centre there, the next such node becomes the centre. So no bucket emits all its pairs, and
-no group is gathered: the check deals a centre's members over chunks of bounded size.
+against all others, on whole shingle sets; then, as long as a bucket holds classes that have had no
+centre there, these elect centres, four times as many in each round as classes merge. So copies of
+one text cost a check each, not one for each pair, and no group is gathered: the check deals a
+centre's members over chunks of bounded size.
 
 Nodes are 64-bit content hashes. Defined cases: null text is empty and all empty texts are one
 class; null doc_ids are documents whose class_id is null only if no member has an id; repeated
@@ -36,8 +37,12 @@ K = 5
 T = 0.8
 HASHES = 60
 RECALL = 0.999
+#: Each round elects so many times more centres in a bucket than the round before.
+GROWTH = 4
 #: Members of a centre that one task row checks.
 CHUNK = 64
+#: Stands for a null doc_id within the operator.
+_NULL = -(1 << 63)
 
 
 def least_jaccard(low: int, high: int, t: float = T) -> float:
@@ -147,17 +152,18 @@ def classes(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame,
     """(signed, labels): (doc_id, node, size) per document; (node, label) for linked nodes."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near-dedup")
-    plain = texts(docs)
+    plain = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL)))
     signed = scratch.keep(plain.mapInArrow(_sign, _SIGNED), "signed")
     # one row a node: min(doc_id) finds its text again
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     shown = signed.join(nodes, ["node", "doc_id"]).dropDuplicates(["node"])
-    banded = scratch.keep(shown.select(F.explode("bands").alias("key"), "node"), "banded")
+    banded = scratch.keep(shown.select(F.explode("bands").alias("key"), "node"), "banded", free=True)
     full = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = scratch.keep(banded.join(full, "key"), "buckets")
+    buckets = scratch.keep(banded.join(full, "key"), "buckets", free=True)
     scratch.drop("banded")
     wanted = buckets.select("node").distinct().join(nodes, "node")
-    by_node = scratch.keep(plain.join(wanted, "doc_id").select("node", "text").mapInArrow(_node_texts, "node long, text string").dropDuplicates(["node"]), "texts")
+    by_node = scratch.keep(plain.join(wanted, "doc_id").select("node", "text").mapInArrow(_node_texts, "node long, text string").dropDuplicates(["node"]), "texts", free=True)
+    sizes = scratch.keep(wanted.join(signed.select("node", "size").dropDuplicates(["node"]), "node").select("node", "size"), "sizes")
     none = spark.createDataFrame([], "a long, b long")
     links, tested, labels, step = none, spark.createDataFrame([], "key long, centre long"), None, 0
     while True:
@@ -167,11 +173,16 @@ def classes(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame,
             open_ = known.join(seen, ["key", "comp"], "left_anti")
         else:
             open_ = known
-        order = F.struct(F.xxhash64("node").alias("o"), F.col("node"), F.col("comp"))
-        centres = scratch.keep(open_.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("own")), f"centres{step}")
+        # one centre a class, and in round r the first GROWTH**r classes of a bucket
+        order = F.struct(F.xxhash64("node").alias("o"), F.col("node"))
+        elected = open_.groupBy("key", F.col("comp").alias("own")).agg(F.min(order).alias("c")).select("key", "own", F.col("c.node").alias("centre"))
+        turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("centre"), "centre"))
+        centres = scratch.keep(elected.withColumn("turn", turn).where(F.col("turn") <= GROWTH**step).drop("turn"), f"centres{step}")
         if not centres.limit(1).count():
             break
-        pairs = known.join(centres, "key").where("comp != own").select("centre", "node").distinct()
+        near = (F.least("size", "centre_size") >= T * F.greatest("size", "centre_size") - 1e-9)
+        sized_centres = centres.join(sizes.select(F.col("node").alias("centre"), F.col("size").alias("centre_size")), "centre")
+        pairs = known.join(sizes, "node").join(sized_centres, "key").where((F.col("comp") != F.col("own")) & near).select("centre", "node").distinct()
         chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).alias("chunk")
         counted = scratch.keep(pairs, f"pairs{step}")
         sized = counted.join(counted.groupBy("centre").agg(F.count("*").alias("n")), "centre").select("centre", "node", chunk)
@@ -188,11 +199,12 @@ def classified(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), n_shingles, class_size per document."""
     scratch = scratch or Scratch(docs.sparkSession, "near-dedup")
     signed, labels = classes(docs, scratch)
-    by_node = signed.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    known = F.nullif("doc_id", F.lit(_NULL))
+    by_node = signed.groupBy("node").agg(F.min(known).alias("low"), F.count("*").alias("n"))
     rooted = scratch.keep(by_node.join(labels, "node", "left").select("node", "low", "n", F.coalesce("label", "node").alias("root")), "rooted")
     groups = rooted.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
     named = rooted.join(groups, "root").select("node", "class_id", "class_size")
-    return signed.join(named, "node").select("doc_id", "class_id", F.col("size").alias("n_shingles"), F.col("class_size").cast("long").alias("class_size"))
+    return signed.join(named, "node").select(known.alias("doc_id"), "class_id", F.col("size").alias("n_shingles"), F.col("class_size").cast("long").alias("class_size"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,8 +213,9 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one with the smallest doc_id; a row repeated under
-    that id stays once."""
-    kept = classified(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__fw_id")).distinct()
+    that id stays once. Documents without doc_id stay."""
+    kept = classified(docs).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__fw_id")).distinct()
     once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text")))
-    held = docs.withColumn("__fw_n", once).where("__fw_n = 1")
-    return held.alias("d").join(kept, F.col("d.doc_id").cast("long").eqNullSafe(F.col("__fw_id")), "left_semi").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    held = docs.withColumn("__fw_n", once).where("__fw_n = 1 and doc_id is not null")
+    one = held.alias("d").join(kept, F.col("d.doc_id").cast("long") == F.col("__fw_id"), "left_semi").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))
