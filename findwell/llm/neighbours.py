@@ -1,4 +1,10 @@
-"""Operator 9. Approximate nearest neighbours: NN-descent graph, greedy graph search.
+"""Operator 9. Nearest neighbours: block search, or an NN-descent graph with greedy search.
+
+The registered query searches in blocks: each block of queries meets each block of classes in one
+task, which keeps the queries' best. It is exact. The graph search (``graph=True``) reached a recall
+of 0.977 on 10,256 vectors but 0.85 to 0.87 on 51,282 (64 dimensions without structure), short of
+the 0.9 that is asked for, so it isn't the default; its work grows with the number of queries, that
+of the block search with queries times vectors.
 
 Equal vectors are one class, known by its smallest vec_id and its ``TOP + 1`` smallest members
 (more can never be among one query's nearest ``TOP``). The graph joins classes: it starts from
@@ -39,6 +45,9 @@ DESCENTS = 4
 HOPS = 3
 PROPOSALS = 12
 FINAL = 64
+#: Queries and vectors that meet in one task of the block search, about.
+QUERY_BLOCK = 1024
+VECTOR_BLOCK = 8192
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -188,7 +197,32 @@ def walk(starts: DataFrame, vectors: DataFrame, graph: DataFrame, scratch: Scrat
     return beam
 
 
-def search(rows: DataFrame, every: int = 20, scratch: Scratch | None = None) -> DataFrame:
+def _block(table: pa.Table) -> pa.Table:
+    """A block of queries against a block of vectors: each query's best FINAL."""
+    ids, own = table.column("id").to_numpy(), table.column("side").to_numpy() == 0
+    v = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    a, b = ids[own], ids[~own]
+    if not len(a) or not len(b):
+        return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+    s = v[own] @ v[~own].T
+    k = min(FINAL, len(b))
+    at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    return pa.table({"src": np.repeat(a, k), "dst": b[at].ravel(), "sim": np.take_along_axis(s, at, 1).ravel()})
+
+
+def blocked(starts: DataFrame, nodes: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """Exact search: the best FINAL (src, dst, sim) of each of ``starts`` among ``nodes``. A query
+    goes to every block of vectors and a vector to every block of queries; blocks are bounded."""
+    across = max(1, -(-starts.count() // QUERY_BLOCK))
+    down = max(1, -(-n // VECTOR_BLOCK))
+    spread = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    q = starts.join(nodes, "id").select(F.pmod(F.xxhash64("id"), F.lit(across)).cast("int").alias("qb"), spread(down).alias("cb"), F.lit(0).alias("side"), "id", "v")
+    c = nodes.select(spread(across).alias("qb"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(down)).cast("int").alias("cb"), F.lit(1).alias("side"), "id", "v")
+    found = q.unionByName(c).groupBy("qb", "cb").applyInArrow(_block, "src long, dst long, sim double")
+    return scratch.keep(_first(found, ["src"], [F.desc("sim"), F.col("dst")], FINAL), "blocked")
+
+
+def search(rows: DataFrame, every: int = 20, graph: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for the queries, rows whose vec_id is divisible by ``every``."""
     spark = rows.sparkSession
     scratch = scratch or Scratch(spark, "neighbours")
@@ -202,11 +236,15 @@ def search(rows: DataFrame, every: int = 20, scratch: Scratch | None = None) ->
     out = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], out)
-    largest = nodes.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0]
-    vectors = scratch.keep(nodes.select("id", "v").mapInArrow(_quantiser(127.0 / largest), "id long, q binary"), "vectors")
     queries = hashed.where(F.col("vec_id") % every == 0).join(classes, ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), F.col("id"))
     starts = queries.select("id").distinct()
-    beam = walk(starts, vectors, descend(vectors, n, scratch), scratch).select("src", "dst").unionByName(starts.select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    if graph:
+        largest = nodes.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0]
+        vectors = scratch.keep(nodes.select("id", "v").mapInArrow(_quantiser(127.0 / largest), "id long, q binary"), "vectors")
+        beam = walk(starts, vectors, descend(vectors, n, scratch), scratch)
+    else:
+        beam = blocked(starts, nodes.select("id", "v"), n, scratch)
+    beam = beam.select("src", "dst").where("src <> dst").unionByName(starts.select(F.col("id").alias("src"), F.col("id").alias("dst")))
     a, b = nodes.select(F.col("id").alias("src"), F.col("v").alias("x")), nodes.select(F.col("id").alias("dst"), F.col("v").alias("y"))
     dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     scored = scratch.keep(beam.join(a, "src").join(b, "dst").select("src", "dst", dot.alias("score")), "scored")
