@@ -132,10 +132,11 @@ def _frequent(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(a[keep], np.uint64(0)).view(np.int64)), pa.array(np.append(n[keep], -len(r.anchor)))], names=["anchor", "n"])
 
 
-def frequent_anchors(plain: DataFrame) -> np.ndarray:
+def frequent_anchors(plain: DataFrame, scratch: Scratch) -> np.ndarray:
     """Anchors of so many different runs that their runs shouldn't meet. At most 2 * FREQUENT: each
     has at least a share of 1 / (2 * FREQUENT) of all runs looked at."""
     found = plain.mapInArrow(_frequent, "anchor long, n long").groupBy("anchor").agg(F.sum(F.when(F.col("n") > 0, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("n") < 0, -F.col("n")).otherwise(0)).alias("runs"))
+    found = scratch.keep(found, "frequent")
     total = F.sum("runs")
     runs = found.agg(total.alias("t")).first()["t"] or 0
     rows = found.where((F.col("n") > 0) & (F.col("n") >= max(500, runs // (2 * FREQUENT)))).select("anchor").collect()
@@ -289,7 +290,7 @@ def _merge(table: pa.Table) -> pa.Table:
         if not len(who):
             continue
         size = np.array([len(parts[i]) + 1 for i in who])
-        text = np.frombuffer(b"\0".join([*[parts[i] for i in who], b""]), np.uint8).astype(np.uint16) + np.uint16(1)
+        text = np.frombuffer(b"\0".join([*[parts[i] for i in who], b""]), np.uint8) + np.uint8(1)  # UTF-8 has no byte above 0xF4
         text[np.cumsum(size) - 1] = 0  # ends of runs are a symbol of their own
         order, before = transform(text)
         run = np.repeat(who, size)
@@ -319,7 +320,7 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "suffixes")
     plain = texts(docs).where(F.col("doc_id").isNotNull())
-    hot = spark.sparkContext.broadcast(frequent_anchors(plain))
+    hot = spark.sparkContext.broadcast(frequent_anchors(plain, scratch))
     buckets = 4 * width(spark)
     runs = plain.mapInArrow(_runs(buckets, hot), _RUNS)
     found = scratch.keep(runs.groupBy("bucket").applyInArrow(_settle, _FOUND_SQL), "found", free=True)

@@ -49,7 +49,7 @@ def test_against_dictionary(spark, monkeypatch, always):
         always = False
     if always:  # every anchor settled string by string
         real = suffixes.Runs
-        every = lambda plain: np.unique(np.concatenate([real([(t or "").encode()]).anchor for _, t in corpus(3)]))
+        every = lambda plain, scratch: np.unique(np.concatenate([real([(t or "").encode()]).anchor for _, t in corpus(3)]))
         monkeypatch.setattr(suffixes, "frequent_anchors", every)
     rows = corpus(3) + [(3, corpus(3)[2][1])]
     got = stripped(spark.createDataFrame([(*x, "s", 1) for x in rows], "doc_id long, text string, doc string, begin long"))
