@@ -13,7 +13,10 @@ from the start, whatever their number. In every band bucket one node, the centre
 against all others, on whole shingle sets; then, as long as a bucket holds classes that have had no
 centre there, these elect centres, four times as many in each round as classes merge. So copies of
 one text cost a check each, not one for each pair, and no group is gathered: the check deals a
-centre's members over chunks of bounded size.
+centre's members over chunks of bounded size. In the end the pairs of members that share a bucket
+but are in different classes, neither having been a centre there, are checked as well, between
+blocks of about ``CHUNK`` nodes, in slices of about ``SLICE`` pairs; so every pair that shares a
+bucket has been checked or is in one class.
 
 Nodes are 64-bit content hashes. Defined cases: null text is empty and all empty texts are one
 class; null doc_ids are documents whose class_id is null only if no member has an id; repeated
@@ -41,6 +44,8 @@ RECALL = 0.999
 GROWTH = 4
 #: Members of a centre that one task row checks.
 CHUNK = 64
+#: Pairs of members, before they are made distinct, that one round of the last check takes.
+SLICE = 2_000_000
 #: Stands for a null doc_id within the operator.
 _NULL = -(1 << 63)
 
@@ -148,6 +153,56 @@ def _check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
 
+def _check_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(nodes with texts, pairs of them) -> linked pairs."""
+    for b in it:
+        out = []
+        for nodes, pairs in zip(b.column("nodes").to_pylist(), b.column("pairs").to_pylist(), strict=True):
+            s = dict(zip([m["node"] for m in nodes], Shingles([m["text"] for m in nodes]).sets, strict=True))
+            for p in pairs:
+                x, y = s[p["a"]], s[p["b"]]
+                if len(np.intersect1d(x, y, assume_unique=True)) >= T * max(len(x), len(y)) - 1e-9:
+                    out.append((p["a"], p["b"]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+
+def _between(buckets: DataFrame, tested: DataFrame, sizes: DataFrame, by_node: DataFrame, links: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """The labels after all pairs of a bucket's members are checked that the election left."""
+    members = buckets.join(tested.withColumnRenamed("centre", "node"), ["key", "node"], "left_anti")
+    step, slices = 0, 1
+    while step < slices:
+        comp = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+        mixed = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+        if not step:
+            total = mixed.agg(F.sum(F.col("n").cast("double") * F.col("n")) / 2).first()[0]
+            if not total:
+                return labels
+            slices = math.ceil(total / SLICE)
+        left = scratch.keep(comp.join(mixed.select("key"), "key").join(sizes, "node"), f"left{step}")
+        # nodes that meet in a bucket mostly share a block, so that its texts serve many pairs
+        home = left.groupBy("node").agg(F.min("key").alias("home"))
+        blocks = home.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).alias("k"))
+        block = scratch.keep(home.join(blocks, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("k"))).alias("block")), f"block{step}")
+        a = left.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(slices)) == step).select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"))
+        b = left.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("nb"))
+        near = F.least("na", "nb") >= T * F.greatest("na", "nb") - 1e-9
+        pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
+        pairs = pairs.join(block.select(F.col("node").alias("a"), F.col("block").alias("p")), "a").join(block.select(F.col("node").alias("b"), F.col("block").alias("q")), "b")
+        pairs = scratch.keep(pairs, f"between{step}", free=True)
+        used = pairs.select("p", "q", F.col("a").alias("node")).unionByName(pairs.select("p", "q", F.col("b").alias("node"))).distinct()
+        shown = used.join(by_node, "node").groupBy("p", "q").agg(F.collect_list(F.struct("node", "text")).alias("nodes"))
+        ready = pairs.groupBy("p", "q").agg(F.collect_list(F.struct("a", "b")).alias("pairs")).join(shown, ["p", "q"]).select("nodes", "pairs")
+        found = scratch.keep(ready.mapInArrow(_check_blocks, "a long, b long"), f"found{step}", free=True)
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            labels = components(links, scratch, f"joined{step}")
+        for name in ("left", "block", "between"):
+            scratch.drop(f"{name}{step}")
+        step += 1
+    return labels
+
+
 def classes(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(signed, labels): (doc_id, node, size) per document; (node, label) for linked nodes."""
     spark = docs.sparkSession
@@ -192,6 +247,8 @@ def classes(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame,
         labels = components(links, scratch, f"comp{step}")
         tested = scratch.keep(tested.unionByName(centres.select("key", "centre")), f"tested{step}")
         step += 1
+    if labels is not None:
+        labels = _between(buckets, tested, sizes, by_node, links, labels, scratch)
     return signed.select("doc_id", "node", "size"), labels if labels is not None else spark.createDataFrame([], "node long, label long")
 
 

@@ -55,6 +55,27 @@ def test_against_all_pairs(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == brute(rows)
 
 
+def families():
+    """Families of edited copies of copies, each linked with the text it was made from."""
+    rows = []
+    for family in (2, 12, 14, 18):
+        r = random.Random(family)
+        made = [[f"f{family}w{i}" for i in range(100)]]
+        while len(made) < 84:
+            w = list(r.choice(made))
+            for at in r.sample(range(len(w)), r.choice([2, 3])):
+                w[at] = f"x{r.randrange(10**9)}"
+            made.append(w)
+        rows += [(1000 * family + i, " ".join(w)) for i, w in enumerate(made)]
+    return rows
+
+
+def test_links_between_members_of_classes(spark):
+    rows = families()
+    got = classified(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"] // 1000, r["class_id"], r["class_size"]) for r in got} == {(f, 1000 * f, 84) for f in (2, 12, 14, 18)}
+
+
 def test_stage_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "s"), (2, "A b c d e f", "t"), (3, "other", "t"), (3, "other", "t"), (None, "a", "n"), (None, "b", "n")], "doc_id long, text string, source string")
     assert sorted(map(str, map(tuple, near_dedup_stage(spark, docs, "").collect()))) == sorted(map(str, [(1, "a b c d e f", "s"), (3, "other", "t"), (None, "a", "n"), (None, "b", "n")]))
