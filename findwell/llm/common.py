@@ -1,7 +1,8 @@
 """Shared plumbing of the training-data operators: scratch tables, input shaping, word ids.
 
 Scratch tables live in the folder that the session names in ``spark.checkpoint.dir`` (shared by
-driver and executors); only where that is unset, as in tests, a local folder is made and set.
+driver and executors); where that is unset a local folder is made and set for a local session, as
+in tests, and a cluster's session is refused.
 A table written there is read back as plain Parquet, so lineage is cut and lost executors only
 cost the tasks that they held.
 """
@@ -30,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = jsc.getCheckpointDir()
     path = found.get() if found.isDefined() else spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="findwell-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -87,12 +90,6 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def n_words(text: Column) -> Column:
-    """Number of words of a text, 0 for null. A leading or trailing separator adds no word."""
-    squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), WORD_PATTERN, "x")
-    return F.length(F.regexp_replace(squeezed, r"[\x20\x09-\x0D]+", "")).cast("long")
-
-
 def batches(it, most: int = 16 << 20):
     """Arrow record batches of (doc_id, text, ...) gathered into tables of about ``most`` bytes."""
     held, size = [], 0
@@ -123,27 +120,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordIds(dict):
-    """word -> 64-bit hash, remembered; starts anew when it grows past ``most`` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = h
-        return h
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -230,10 +206,33 @@ def _ramp(n: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, label) for the nodes of ``edges`` (a long, b long): the smallest node that a node is
-    connected with. Each round takes the least label among neighbours, then that label's own."""
-    both = scratch.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-both")
+def _forest(it):
+    """Edges (a, b) of a batch -> (node, the least node that it is connected with in the batch)."""
+    for t in batches(it, 8 << 20):
+        a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        label = np.arange(len(nodes))
+        while True:
+            new = label.copy()
+            low = np.minimum(label[x], label[y])
+            np.minimum.at(new, x, low)
+            np.minimum.at(new, y, low)
+            new = np.minimum(new, new[new])
+            if (new == label).all():
+                break
+            label = new
+        own = np.flatnonzero(label != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[own], pa.int64()), pa.array(nodes[label[own]], pa.int64())], names=["a", "b"])
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int | None = None) -> DataFrame:
+    """(node, label) for the nodes of ``edges`` (a long, b long), but for those joined with themselves
+    only: the smallest node that a node is connected with. Batches of edges are first reduced to
+    stars; then each round takes the least label among neighbours, then that label's own. Ending
+    after so many ``rounds`` leaves some components in several parts."""
+    stars = edges.select("a", "b").mapInArrow(_forest, "a long, b long")
+    both = scratch.keep(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-both")
     labels = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), f"{name}-0")
     step = 0
     while True:
@@ -243,7 +242,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         own = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
         new = scratch.keep(low.join(own, "label").select("node", F.least("label", "jump").alias("label"), "old"), f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}")
-        changed = new.where("label < old").limit(1).count()
         labels = new.select("node", "label")
-        if not changed:
+        if step == rounds or not new.where("label < old").limit(1).count():
+            scratch.drop(f"{name}-both")
             return labels
