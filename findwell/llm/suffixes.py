@@ -13,7 +13,9 @@ strings always lie in runs of one anchor, and text without repeats drops out as
    interleave refinement: a merged order by k symbols, read as one column of preceding symbols and
    sorted stably, is the order by k + 1 symbols, and an entry leaves its predecessor's block in the
    round in which their common prefix ends. After 100 rounds the blocks are the intervals with a
-   common prefix of 100, the repeated strings, without any suffix being sorted anew.
+   common prefix of 100, the repeated strings, without any suffix being sorted anew. A block of one
+   entry is settled, and so is a prefix that reaches a run's end: what comes of them can't repeat,
+   so they leave the interleave and the rounds get cheaper.
 3. Anchors with a great many different runs (found beforehand from a share of the batches; which
    ones are found changes no result) are settled string by string, each string its own anchor.
 
@@ -128,7 +130,7 @@ def _frequent(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, c = r.anchor[order], r.content[order]
             new = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])) if len(a) else np.zeros(0, bool)
             a, n = np.unique(a[new], return_counts=True)
-            keep = n >= 8
+            keep = n >= 2
             yield pa.RecordBatch.from_arrays([pa.array(np.append(a[keep], np.uint64(0)).view(np.int64)), pa.array(np.append(n[keep], -len(r.anchor)))], names=["anchor", "n"])
 
 
@@ -246,37 +248,60 @@ def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rotation order, preceding symbols in it) of a cyclic text, by prefix doubling."""
+    """(rotation order, preceding symbols in it) of a cyclic text, by prefix doubling from the first
+    four symbols."""
     n = len(text)
-    rank = text.astype(np.int64)
-    k = 1
-    order = np.argsort(rank, kind="stable")
-    rank_of = np.empty(n, np.int64)
-    rank_of[order] = np.cumsum(np.append(0, rank[order][1:] != rank[order][:-1]))
-    rank = rank_of
-    while rank.max() < n - 1 and k < n:
-        key = rank * n + np.roll(rank, -k)
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.append(0, key[order][1:] != key[order][:-1]))
-        rank, k = new, 2 * k
+    wide = text.astype(np.uint32)
+    first = (wide << np.uint32(24)) | (np.roll(wide, -1) << np.uint32(16)) | (np.roll(wide, -2) << np.uint32(8)) | np.roll(wide, -3)
+    order = np.argsort(first, kind="stable")
+    rank, k = np.empty(n, np.int64), 4
+    rank[order] = np.maximum.accumulate(np.where(np.append(True, first[order][1:] != first[order][:-1]), np.arange(n), 0))
+    # only places whose rank is still shared are sorted again
+    while k < n:
+        sorted_rank = rank[order]
+        same = sorted_rank[1:] == sorted_rank[:-1]
+        shared = np.append(False, same) | np.append(same, False)
+        if not shared.any():
+            break
+        at = np.flatnonzero(shared)
+        who = order[at]
+        own, after = sorted_rank[at], rank[(who + k) % n]
+        by = np.lexsort((after, own))
+        who, own, after = who[by], own[by], after[by]
+        order[at] = who
+        new = np.append(True, (own[1:] != own[:-1]) | (after[1:] != after[:-1]))
+        lead = np.append(True, own[1:] != own[:-1])
+        # a rank is the number of smaller entries
+        place = np.arange(len(who))
+        head = np.maximum.accumulate(np.where(lead, place, 0))
+        start = np.maximum.accumulate(np.where(new, place, 0))
+        fresh = rank.copy()
+        fresh[who] = own + (start - head)
+        rank, k = fresh, 2 * k
     return order, text[order - 1]
 
 
-def interleave(columns: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge transforms by refinement: (shard of each merged entry, block of each), where blocks
-    are the entries with a common prefix of ``rounds`` symbols."""
-    shard = np.repeat(np.arange(len(columns), dtype=np.uint8), [len(c) for c in columns])
-    block = np.zeros(len(shard), np.int64)
-    before = np.empty(len(shard), columns[0].dtype)
+def interleave(columns: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merge transforms by refinement: the entries (shard, row) that share a prefix of ``rounds``
+    symbols without a 0 with another one, in merged order, and the block of each."""
+    shard = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+    symbols = np.concatenate(columns)
+    base = np.cumsum([0, *[len(c) for c in columns]])
+    # where a row goes when its preceding symbol is put before it, shard by shard
+    step = np.empty(len(symbols), np.int64)
+    for s, c in enumerate(columns):
+        step[base[s] + np.argsort(c, kind="stable")] = base[s] + np.arange(len(c))
+    row, block = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
     for _ in range(rounds):
-        for s, c in enumerate(columns):
-            before[shard == s] = c
+        before = symbols[row]
         order = np.argsort(before, kind="stable")
+        order = order[np.searchsorted(before[order], 1) :]  # a 0 ends a run
         symbol, old = before[order], block[order]
-        new = np.append(False, (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1]))
-        shard, block = shard[order], np.cumsum(new)
-    return shard, block
+        new = np.append(True, (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1]))[: len(order)]
+        alone = new & np.append(new[1:], True)[: len(order)]
+        order, block = order[~alone], np.cumsum(new)[~alone]
+        row = step[row[order]]
+    return shard[row], row - base[shard[row]], block
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -295,19 +320,16 @@ def _merge(table: pa.Table) -> pa.Table:
         order, before = transform(text)
         run = np.repeat(who, size)
         off = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
-        off[off > np.repeat(size - 1 - LENGTH, size)] = -1  # too near the end for a string
         columns.append(before)
         places.append((run[order], off[order]))
-    shard, block = interleave(columns, LENGTH)
+    shard, row, block = interleave(columns, LENGTH)
     run, off = np.empty(len(shard), np.int64), np.empty(len(shard), np.int64)
     for s, (r, o) in enumerate(places):
-        run[shard == s], off[shard == s] = r, o
-    ok = off >= 0
-    run, off, block = run[ok], off[ok], block[ok]
+        run[shard == s], off[shard == s] = r[row[shard == s]], o[row[shard == s]]
     d, at = doc[run], begin[run] + off
     order = np.lexsort((at, d, block))
     d, at, block = d[order], at[order], block[order]
-    later = np.append(False, block[1:] == block[:-1])
+    later = np.append(False, block[1:] == block[:-1])[: len(block)]
     # the first of its block stays, and so does the same place seen twice
     head = np.flatnonzero(~later)[np.cumsum(~later) - 1]
     later &= (d != d[head]) | (at != at[head])

@@ -63,18 +63,25 @@ def test_null_id_and_empty(spark):
     assert stripped(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_interleave_is_the_order_by_prefix():
+def test_interleave_finds_shared_prefixes_in_order():
     r = np.random.default_rng(5)
-    shards = [np.append(r.integers(1, 4, n), 0).astype(np.uint16) for n in (40, 1, 75, 33)]
+    shards = [np.where(np.arange(n + 1) % 17 == 16, 0, r.integers(1, 4, n + 1)).astype(np.uint8) for n in (40, 1, 75, 33, 5000)]
+    for t in shards:
+        t[-1] = 0
     made = [transform(t) for t in shards]
+    for t, (order, _) in zip(shards, made, strict=True):
+        turned = [tuple(np.roll(t, -i).tolist()) for i in order] if len(t) < 100 else []
+        assert turned == sorted(turned) and sorted(order) == list(range(len(t)))
     for k in (1, 3, 9):
-        shard, block = interleave([m[1] for m in made], k)
-        seen = [0] * len(shards)
-        keys = []
-        for s in shard:
-            at = made[s][0][seen[s]]
-            seen[s] += 1
-            t = shards[s]
-            keys.append(tuple(int(t[(at + j) % len(t)]) for j in range(k)))
-        assert keys == sorted(keys)
-        assert (np.diff(block) == [int(a != b) for a, b in zip(keys, keys[1:])]).all()
+        every = {}
+        for s, t in enumerate(shards):
+            for i in range(len(t)):
+                key = tuple(int(t[(i + j) % len(t)]) for j in range(k))
+                if 0 not in key:
+                    every.setdefault(key, set()).add((s, i))
+        want = [every[x] for x in sorted(every) if len(every[x]) > 1]
+        shard, row, block = interleave([m[1] for m in made], k)
+        got = {}
+        for s, j, b in zip(shard.tolist(), row.tolist(), block.tolist(), strict=True):
+            got.setdefault(b, set()).add((s, int(made[s][0][j])))
+        assert [got[b] for b in sorted(got)] == want
