@@ -31,6 +31,20 @@ def joined_key(cols: tuple[str, ...]) -> Column:
     return F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols])
 
 
+def has_key(schema: T.StructType, cols: tuple[str, ...], key: str) -> Column:
+    """Whether the joined key of typed columns is ``key``. The columns themselves are compared, so the
+    scan can skip; the string is compared as well, as a text such as 07 is not the key of a 7. A key
+    whose parts hold a ':' cannot be taken apart, so for that the string decides alone."""
+    out, parts = joined_key(cols) == key, key.split(":")
+    if len(parts) != len(cols):
+        return out
+    for c, p in zip(cols, parts, strict=True):
+        kind = schema[c].dataType
+        same = F.col(c) == (F.lit(p) if isinstance(kind, T.StringType) else F.lit(p).try_cast(kind))
+        out = out & (same | F.col(c).isNull() if p == "null" else same)
+    return out
+
+
 def with_ids(rows: DataFrame, spec: TableSpec) -> DataFrame:
     return rows.withColumn("id", joined_key(spec.partition_cols + spec.clustering_cols)).withColumn("partition_key", joined_key(spec.partition_cols))
 

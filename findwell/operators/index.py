@@ -1,5 +1,8 @@
 """The persisted inverted index: postings and vocabulary tables, and searches that read only them.
 
+``opened`` keeps the index of a table in the shared folder, made when it is first asked for and again
+when the table's files have changed.
+
 Postings are sorted by path and token within range partitions, so a query's equality on token
 prunes row groups by their statistics; prefix and fuzzy clauses are first resolved against the
 vocabulary, which is small, and only the terms found are looked up.
@@ -7,13 +10,16 @@ vocabulary, which is small, and only the terms found are looked up.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findwell.functions.text import within_edits
+from findwell.functions.text import literal_tokens, within_edits
 from findwell.operators.search import Documents
 from findwell.plans.compile import K1, B, Stats
-from findwell.plans.query import Fuzzy, Prefix, QueryError, Term
+from findwell.plans.query import Clause, Fuzzy, Phrase, Prefix, QueryError, SearchRequest, Term, expanded, parse
+from findwell.sources.shared import shared_dir
 
 
 def build(docs: Documents, paths: list[str], where: str, partitions: int | None = None) -> None:
@@ -57,12 +63,15 @@ class Index:
         df = {(r["path"], r["token"]): r["df"] for r in self.vocab.where(cond).collect()}
         return Stats(max((n for n, _ in lens.values()), default=0), {p: m for p, (_, m) in lens.items()}, df)
 
-    def any_of(self, path: str, terms: list[str], b: float = B) -> DataFrame:
-        """(id, score) of documents with any of the terms, by BM25 from the postings alone."""
+    def any_of(self, path: str, terms: list[str] | dict[str, float], b: float = B) -> DataFrame:
+        """(id, score) of documents with any of the terms, each with its boost, by BM25 from the
+        postings alone."""
+        boosts = terms if isinstance(terms, dict) else dict.fromkeys(terms, 1.0)
+        terms = sorted(boosts)
         stats = self.stats([(path, t) for t in terms])
         idf = F.lit(0.0)
         for t in terms:
-            idf = F.when(F.col("token") == t, F.lit(stats.idf(path, t))).otherwise(idf)
+            idf = F.when(F.col("token") == t, F.lit(boosts[t] * stats.idf(path, t))).otherwise(idf)
         norm = K1 * (1 - b + b * F.col("len") / F.lit(stats.mean_len.get(path, 1.0)))
         hit = self.postings.where((F.col("path") == path) & F.col("token").isin(terms))
         return hit.groupBy("id").agg(F.sum(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("score"))
@@ -79,3 +88,71 @@ class Index:
         hit = self.postings.where((F.col("path") == path) & F.col("token").isin(sorted(place)))
         starts = hit.select("id", F.explode("positions").alias("pos"), shifts.alias("s")).select("id", "pos", F.explode("s").alias("i")).select("id", (F.col("pos") - F.col("i")).alias("at"))
         return starts.groupBy("id", "at").count().where(F.col("count") == len(words)).groupBy("id").agg(F.count("*").alias("tf"))
+
+    def answer(self, node, b: float = B) -> DataFrame:
+        """(id, score) of the documents that match a tree of terms, phrases, prefixes and fuzzy terms,
+        scored as a scan scores them."""
+        if isinstance(node, Clause):
+            return self._clause(node, b)
+        path = (node.path or "").removeprefix("document.")
+        if isinstance(node, (Prefix, Fuzzy)):
+            found = [t for t, _ in self.tokens_of(node)]
+            hit = self.postings.where((F.col("path") == path) & F.col("token").isin(found))
+            return hit.select("id").distinct().withColumn("score", F.lit(float(node.boost)))
+        if not isinstance(node, (Term, Phrase)) or getattr(node, "slop", 0) or getattr(node, "prefix", False):
+            raise QueryError(f"the index does not answer {node}")
+        words = literal_tokens(node.text)
+        if len(words) == 1:
+            return self.any_of(path, {words[0]: node.boost}, b)
+        stats = self.stats([(path, w) for w in words])
+        sizes = self.postings.where((F.col("path") == path) & (F.col("token") == words[0])).select("id", "len") if words else None
+        if sizes is None:
+            return self.postings.select("id").limit(0).withColumn("score", F.lit(0.0))
+        weight = node.boost * sum(stats.idf(path, w) for w in words)
+        norm = K1 * (1 - b + b * F.col("len") / F.lit(stats.mean_len.get(path, 1.0)))
+        return self.phrase(path, words).join(sizes, "id").select("id", (F.lit(weight) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("score"))
+
+    def _clause(self, node: Clause, b: float) -> DataFrame:
+        """Terms of one leaf that may each stand alone are read together, in one pass."""
+        alone: dict[str, dict[str, float]] = {}
+        parts: list[tuple[DataFrame, bool]] = []
+        for n in node.should:
+            words = literal_tokens(n.text) if isinstance(n, Term) else []
+            if len(words) == 1:
+                own = alone.setdefault((n.path or "").removeprefix("document."), {})
+                own[words[0]] = own.get(words[0], 0.0) + n.boost
+            else:
+                parts.append((self.answer(n, b), False))
+        parts += [(self.any_of(p, t, b), False) for p, t in alone.items()] + [(self.answer(n, b), True) for n in node.must]
+        if not parts:
+            raise QueryError("the index answers no clause that only excludes")
+        if len(parts) == 1:
+            out = parts[0][0]
+        else:
+            both = None
+            for df, must in parts:
+                own = df.withColumn("must", F.lit(int(must)))
+                both = own if both is None else both.unionByName(own)
+            out = both.groupBy("id").agg(F.sum("score").alias("score"), F.sum("must").alias("must")).where(F.col("must") == len(node.must)).drop("must")
+        for n in node.must_not:
+            out = out.join(self.answer(n, b), "id", "left_anti")
+        return out.withColumn("score", F.col("score") * F.lit(float(node.boost))) if node.boost != 1 else out
+
+    def hits(self, request: SearchRequest, digits: int | None = None) -> DataFrame:
+        """(id, score): the page asked for, best first, ties by id."""
+        found = self.answer(parse(expanded(request)))
+        found = found if digits is None else found.withColumn("score", F.round("score", digits))
+        return found.orderBy(F.desc("score"), "id").offset(request.offset).limit(request.limit)
+
+
+def opened(docs: Documents, paths: list[str], table: str) -> Index:
+    """The index of ``docs``, which are read from ``table``."""
+    spark = docs.df.sparkSession
+    files = spark.read.parquet(table).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("n"), F.col("_metadata.file_modification_time").cast("string").alias("t")).distinct()
+    state = files.agg(F.sum(F.xxhash64("f", "n", "t").cast("decimal(38,0)")).cast("string").alias("s")).first()["s"]
+    name = hashlib.sha256("|".join([table, str(state), *paths]).encode()).hexdigest()[:24]
+    where = f"{shared_dir(spark)}/findwell/index-{name}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/path_stats/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        build(docs, paths, where)
+    return Index(spark, where)

@@ -44,7 +44,8 @@ def classify(op: Column) -> Column:
 
 
 def shard(partition_key: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(partition_key), F.lit(shards)).cast("int")
+    """The shard of a partition: by MD5, so that any writer finds the same one."""
+    return F.pmod(F.conv(F.substring(F.md5(partition_key), 1, 15), 16, 10).cast("long"), F.lit(shards)).cast("int")
 
 
 def counters(ops: DataFrame) -> DataFrame:

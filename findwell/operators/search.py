@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from findwell.functions.keys import FOREVER
+from findwell.functions.keys import FOREVER, TableSpec, has_key
 from findwell.plans.compile import B, Compiler, Field, Stats
 from findwell.plans.query import SearchRequest, expanded, parse
 
@@ -65,8 +65,8 @@ def _leaves(schema: T.StructType, at: str = "") -> dict[str, Field]:
 class Documents:
     """A frame of documents with what is needed to search it: id, partition key, expiry, leaves."""
 
-    def __init__(self, df: DataFrame, id: Column, partition: Column | None = None, expires: Column | None = None, fields: dict[str, Field] | None = None, cols: list[str] | None = None):
-        self.df = df
+    def __init__(self, df: DataFrame, id: Column, partition: Column | None = None, expires: Column | None = None, fields: dict[str, Field] | None = None, cols: list[str] | None = None, spec: TableSpec | None = None):
+        self.df, self.spec = df, spec
         cols = cols or [c for c in df.columns if c not in ("partition_key", "expires_at", "writetime")]
         self.fields = fields if fields is not None else _leaves(T.StructType([df.schema[c] for c in cols]))
         self.id, self.partition, self.expires = id, id if partition is None else partition, expires
@@ -127,11 +127,18 @@ class Search:
 
     @property
     def scored(self) -> DataFrame:
+        """id, score, partition_key of every match, with the columns that its payload is made of."""
         stats = self._stats or corpus_stats(self.all, self.compiler, self.node)
         score = self.compiler.score(self.node, stats)
         score = F.round(score, self.digits) if self.digits is not None else score
-        payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in self.docs.cols])) if "document" not in self.docs.cols else F.to_json("document")
-        return self.matched.select(self.docs.id.alias("id"), score.alias("score"), F.coalesce(payload, F.lit("{}")).alias("payload_json"), self.docs.partition.alias("partition_key"))
+        row = F.struct(*[F.col(f"`{c}`") for c in self.docs.cols]).alias("__row")
+        return self.matched.select(self.docs.id.alias("id"), score.alias("score"), self.docs.partition.alias("partition_key"), row)
+
+    @property
+    def payload(self) -> Column:
+        """The JSON of a row; made for the page only."""
+        row = F.col("__row.document") if "document" in self.docs.cols else F.col("__row")
+        return F.coalesce(F.to_json(row), F.lit("{}")).alias("payload_json")
 
     def hits(self) -> DataFrame:
         """The page asked for, best first, ties by id: a bounded top-k in each task, then one merge."""
@@ -141,7 +148,7 @@ class Search:
                 found = found.orderBy(*order).limit(self.group_cap)
             best = Window.partitionBy("partition_key").orderBy(*order)
             found = found.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r")
-        return found.orderBy(*order).offset(r.offset).limit(r.limit)
+        return found.orderBy(*order).offset(r.offset).limit(r.limit).select("id", "score", self.payload, "partition_key")
 
     def total(self) -> DataFrame:
         return self.matched.agg(F.count("*").alias("total_hits"))
@@ -193,8 +200,12 @@ def search_shards(spark, paths: list[str], build, request: SearchRequest, **opti
 
 
 def lookup(docs: Documents, id: str) -> DataFrame:
+    if docs.spec is not None:
+        return docs.df.where(has_key(docs.df.schema, docs.spec.partition_cols + docs.spec.clustering_cols, id))
     return docs.df.where(docs.id == id)
 
 
 def list_ids(docs: Documents, partition_key: str) -> DataFrame:
-    return docs.df.where(docs.partition == partition_key).select(docs.id.alias("id")).distinct()
+    """Ids of a partition; where the key columns are known, they are compared with their own types."""
+    own = docs.partition == partition_key if docs.spec is None else has_key(docs.df.schema, docs.spec.partition_cols, partition_key)
+    return docs.df.where(own).select(docs.id.alias("id")).distinct()

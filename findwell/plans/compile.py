@@ -1,7 +1,8 @@
 """Syntax trees compiled to column expressions: one that filters and one that scores.
 
-Nothing here runs: Catalyst sees plain predicates, pushes what it can to the scan and compiles the
-rest. Statistics for scoring (documents, mean lengths, document frequencies) are a dictionary that
+Nothing here runs: Catalyst sees plain predicates, pushes comparisons of columns with literals to the
+scan and compiles the rest. A filter may be null where a value is missing, which selects nothing;
+only what is negated is made false first, since a scan can't push a predicate wrapped in coalesce. Statistics for scoring (documents, mean lengths, document frequencies) are a dictionary that
 ``operators.search`` fills from one aggregation or from the persisted index.
 """
 
@@ -73,10 +74,10 @@ class Compiler:
         if isinstance(node, Clause):
             return self._clause(node)
         found = [self._leaf(node, p) for p in self.paths(node.path)]
-        out = F.lit(False)
-        for c in found:
-            out = out | F.coalesce(c, F.lit(False))
-        return out if len(found) != 1 else F.coalesce(found[0], F.lit(False))
+        out = found[0] if found else F.lit(False)
+        for c in found[1:]:
+            out = out | c
+        return out
 
     def _clause(self, node: Clause) -> Column:
         out = None
@@ -88,7 +89,7 @@ class Compiler:
         if out is None:  # only exclusions select nothing
             return F.lit(False)
         for n in node.must_not:
-            out = out & ~self.filter(n)
+            out = out & ~F.coalesce(self.filter(n), F.lit(False))
         return out
 
     def _leaf(self, node, path: str) -> Column:
@@ -196,7 +197,12 @@ class Compiler:
 
 
 def _sloppy(toks: Column, words: list[str], slop: int) -> Column:
-    """Start places at which the words follow in order, with at most ``slop`` others between."""
+    """Start places at which the words follow in order, with at most ``slop`` others between. The
+    tokens are bound once; within a lambda they would be made anew for each place."""
+    return F.transform(F.array(toks), lambda t: _starts(t, words, slop))[0]
+
+
+def _starts(toks: Column, words: list[str], slop: int) -> Column:
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(toks) - 1, F.lit(0))), lambda i: F.get(toks, i) == words[0])
     if not slop:
         def here(i):
@@ -209,9 +215,8 @@ def _sloppy(toks: Column, words: list[str], slop: int) -> Column:
 
     def reach(i):
         at = i
-        for w in words[1:]:  # the nearest later place of each next word
-            rest = F.slice(toks, at + 2, F.greatest(F.size(toks) - at - 1, F.lit(0)))
-            step = F.array_position(rest, w)
+        for w in words[1:]:  # the nearest later place of each next word, no farther than the slop
+            step = F.array_position(F.slice(toks, F.greatest(at, F.lit(0)) + 2, F.lit(slop + 1)), w)
             at = F.when((at >= 0) & (step > 0), at + step.cast("int")).otherwise(F.lit(-(1 << 20)))
         return (at >= 0) & (at - i - F.lit(len(words) - 1) <= slop)
 

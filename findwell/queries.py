@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 from findwell.functions.keys import FOREVER, TableSpec, expires_at, payload_json, uuid_micros, with_ids
 from findwell.operators import analysis as an
-from findwell.operators import ingest
+from findwell.operators import index, ingest
 from findwell.operators.search import Documents, Search, list_ids, lookup
-from findwell.plans.query import SearchRequest
+from findwell.plans.query import SearchRequest, parse
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark, sf_dir) -> Documents:
-    return Documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), F.col("doc_id"), F.col("source"), cols=["text", "lang", "source", "n_chars"])
+    return Documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), F.col("doc_id"), F.col("source"), cols=["text", "lang", "source", "n_chars"], spec=TableSpec(("doc_id",)))
 
 
 def parts(spark, sf_dir) -> Documents:
@@ -41,7 +41,7 @@ def parts(spark, sf_dir) -> Documents:
 
 def turns(spark, sf_dir) -> Documents:
     df = with_ids(table(spark, sf_dir, "conversations"), TableSpec(("conv_id",), ("turn",)))
-    return Documents(df, F.col("id"), F.col("partition_key"), cols=["role", "text", "turn"])
+    return Documents(df, F.col("id"), F.col("partition_key"), cols=["role", "text", "turn"], spec=TableSpec(("conv_id",), ("turn",)))
 
 
 def search(make, query: str, **more):
@@ -83,7 +83,7 @@ _matches("fts_not", docs, "lang:en AND NOT text:the -source:src3", f"(lang='en'
 _matches("fts_group", parts, "document.p_name:(small red rod)", f"({has('p_name', 'small')} OR {has('p_name', 'red')} OR {has('p_name', 'rod')})", "part", "p_partkey")
 _matches("fts_phrase", docs, 'document.text:"of the"', phrase("text", "of the"), "documents", "doc_id")
 _matches("fts_phrase_prefix", docs, 'document.text:"of th"*', phrase("text", "of th", ""), "documents", "doc_id")
-_matches("fts_phrase_slop", parts, 'document.p_name:"ring small"~1 OR p_name:"red plate"~1', phrase("p_name", "red plate"), "part", "p_partkey")
+_matches("fts_phrase_slop", docs, 'document.text:"der die"~2', rf"regexp_matches(' ' || array_to_string({TOK('text')},' ') || ' ', ' der ([^ ]+ ){{0,2}}die ')", "documents", "doc_id")
 _matches("fts_prefix", parts, "document.p_name:wid*", anyof("p_name", "starts_with(t,'wid')"), "part", "p_partkey")
 _matches("fts_fuzzy1", parts, "document.p_name:wdiget~1", anyof("p_name", "damerau_levenshtein(t,'wdiget')<=1"), "part", "p_partkey")
 _matches("fts_fuzzy2", parts, "document.p_name:plaet~2", anyof("p_name", "damerau_levenshtein(t,'plaet')<=2"), "part", "p_partkey")
@@ -120,10 +120,19 @@ def _hits(name: str, make, query: str, sql: str, cols=("id", "score"), **more) -
     ORACLES[name] = sql
 
 
+def _indexed(name: str, query: str, sql: str, **more) -> None:
+    """A page of hits from the persisted index of the documents' texts."""
+    request = SearchRequest(query, more.pop("limit", 10), more.pop("offset", 0), **more)
+    QUERIES[name] = lambda spark, sf_dir: index.opened(docs(spark, sf_dir), ["text"], f"{sf_dir}/documents.parquet").hits(request, digits=6)
+    ORACLES[name] = sql
+
+
 _ONE = bm25("documents", "doc_id", "text", [("der", 1)])
-_hits("bm25_single", docs, "document.text:der", f"{_ONE} ORDER BY score DESC, id LIMIT 10")
-_hits("bm25_multi", docs, "text:der text:die^2 text:ein", f"{bm25('documents', 'doc_id', 'text', [('der', 1), ('die', 2), ('ein', 1)])} ORDER BY score DESC, id LIMIT 20", limit=20)
-_hits("topk_page", docs, "document.text:der", f"{_ONE} ORDER BY score DESC, id LIMIT 7 OFFSET 5", limit=7, offset=5)
+_MULTI = bm25("documents", "doc_id", "text", [("der", 1), ("die", 2), ("ein", 1)])
+_indexed("bm25_single", "document.text:der", f"{_ONE} ORDER BY score DESC, id LIMIT 10")
+_indexed("bm25_multi", "text:der text:die^2 text:ein", f"{_MULTI} ORDER BY score DESC, id LIMIT 20", limit=20)
+_indexed("topk_page", "document.text:der", f"{_ONE} ORDER BY score DESC, id LIMIT 7 OFFSET 5", limit=7, offset=5)
+_hits("bm25_scan", docs, "text:der text:die^2 text:ein", f"{_MULTI} ORDER BY score DESC, id LIMIT 20", limit=20)
 _hits(
     "fts_boost", parts, "ring", boost_fields=(("p_name", 5.0), ("p_type", 1.0)), limit=25,
     sql=f"{bm25('part', 'p_partkey', 'p_name', [('ring', 5)])} ORDER BY score DESC, id LIMIT 25",
@@ -141,19 +150,17 @@ def _total(spark, sf_dir):
     return search(docs, "text:der")(spark, sf_dir).total()
 
 
-@_q("index_any", bm25("documents", "doc_id", "text", [("der", 1), ("die", 1)]))
-def _index_any(spark, sf_dir):
-    """The same ranking from postings: no text is tokenised when the index exists; here it is built
-    as a frame, to be compared with the scan."""
-    toks = docs(spark, sf_dir).fields["text"].tokens
-    flat = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), toks.alias("toks"))
-    s = flat.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("al"))
-    post = flat.select("id", F.size("toks").alias("len"), F.explode("toks").alias("token")).where(F.col("token").isin("der", "die")).groupBy("id", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    vocab = post.groupBy("token").agg(F.count("*").alias("df"))
-    one = F.broadcast(s)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * (F.col("tf") * 2.2) / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("al")))
-    return post.join(F.broadcast(vocab), "token").crossJoin(one).groupBy("id").agg(F.round(F.sum(score), 6).alias("score"))
+def _from_index(name: str, query: str, sql: str, *cols: str) -> None:
+    """Every match of a query by the persisted index."""
+    QUERIES[name] = lambda spark, sf_dir: index.opened(docs(spark, sf_dir), ["text"], f"{sf_dir}/documents.parquet").answer(parse(query)).select("id", *[F.round(c, 6).alias(c) for c in cols])
+    ORACLES[name] = sql
+
+
+_from_index("index_any", "text:der text:die", bm25("documents", "doc_id", "text", [("der", 1), ("die", 1)]), "score")
+_from_index("index_all", "text:der AND text:die -text:ein", f"SELECT doc_id AS id FROM documents WHERE {has('text', 'der')} AND {has('text', 'die')} AND NOT {has('text', 'ein')}")
+_from_index("index_phrase", 'text:"of the"', f"SELECT doc_id AS id FROM documents WHERE {phrase('text', 'of the')}")
+_from_index("index_prefix", "text:le*", f"SELECT doc_id AS id FROM documents WHERE {anyof('text', "starts_with(t,'le')")}")
+_from_index("index_fuzzy", "text:dre~1", f"SELECT doc_id AS id FROM documents WHERE {anyof('text', "damerau_levenshtein(t,'dre')<=1")}")
 
 
 # facets
@@ -179,7 +186,7 @@ _facet("facet_multi", docs, "*", ("lang", "source", "missing"), _facet_sql("docu
 
 @_q("lookup_by_id", "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = 42")
 def _lookup(spark, sf_dir):
-    return lookup(docs(spark, sf_dir), 42).select("doc_id", "lang", "n_chars")
+    return lookup(docs(spark, sf_dir), "42").select("doc_id", "lang", "n_chars")
 
 
 @_q("list_ids_by_partition", "SELECT conv_id || ':' || turn AS id FROM conversations WHERE conv_id = 7")
@@ -300,7 +307,7 @@ def _scan(spark, sf_dir):
     return ops(spark, sf_dir).where(F.col("writetime") >= now).agg(F.count("*").alias("n"), F.max("writetime").alias("last"))
 
 
-@_q("shard_route")
+@_q("shard_route", "SELECT conv_id || ':' || turn AS id, CAST(CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)),1,15) AS BIGINT) % 8 AS INTEGER) AS shard FROM conversations")
 def _route(spark, sf_dir):
     return turns(spark, sf_dir).df.select("id", ingest.shard(F.col("partition_key"), 8).alias("shard"))
 
