@@ -137,14 +137,15 @@ def apply_map_delta(base: Column, tombstoned: Column, removed: Column, added: Co
     return F.map_concat(kept, more)
 
 
-def pair_ranges(ops: DataFrame) -> DataFrame:
-    """Range deletes: each start row with the end row that follows it in its stream. A start that
-    another start follows is dropped, and so is an end without a start."""
+def pair_ranges(ops: DataFrame, bound: str = "bound") -> DataFrame:
+    """Range deletes: each start row with the end row that follows it in its stream, with the start's
+    write time. A start that another start follows is dropped, and so is an end without a start.
+    ``bound`` is one typed value, or an array of texts, one for each clustering column."""
     ends = Window.partitionBy("stream_id").orderBy("seq")
     rows = ops.where(F.col("op").startswith("range_del_"))
-    nxt = rows.select("stream_id", "seq", "op", "partition_key", "bound", "writetime", F.lead("op").over(ends).alias("end_op"), F.lead("bound").over(ends).alias("high"), F.lead("seq").over(ends).alias("end_seq"))
+    nxt = rows.select("stream_id", "seq", "op", "partition_key", bound, "writetime", F.lead("op").over(ends).alias("end_op"), F.lead(bound).over(ends).alias("high"), F.lead("seq").over(ends).alias("end_seq"))
     return nxt.where(F.col("op").endswith("_left") & F.col("end_op").endswith("_right")).select(
-        "stream_id", F.col("end_seq").alias("seq"), "partition_key", F.col("bound").alias("low"), "high",
+        "stream_id", F.col("end_seq").alias("seq"), "partition_key", F.col(bound).alias("low"), "high",
         F.col("op").contains("_incl_").alias("low_in"), F.col("end_op").contains("_incl_").alias("high_in"), "writetime",
     )
 
@@ -172,32 +173,100 @@ def deep_merge(base, patch):
     return patch
 
 
-def fold_json(ops: DataFrame, tombstones: bool = True) -> DataFrame:
-    """The fold for nested JSON payloads (payload_json): id, partition_key, payload_json, writetime,
-    expires_at. A payload that is no JSON object is skipped and the stored document stays. Needs the
-    operations of one id at a time, in order of arrival."""
-    rows = after_partition_deletes(ops).select("id", "partition_key", "seq", "op", "writetime", "ttl", "payload_json")
-    schema = "id string, partition_key string, payload_json string, writetime long, expires_at long"
+def open_starts(ops: DataFrame) -> DataFrame:
+    """The last range row of each stream, where it is a start: its end may still come."""
+    last = F.row_number().over(Window.partitionBy("stream_id").orderBy(F.desc("seq")))
+    rows = ops.where(F.col("op").startswith("range_del_")).withColumn("__r", last).where("__r = 1").drop("__r")
+    return rows.where(F.col("op").endswith("_left"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = None
-        top = None
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            if top is not None and r.writetime <= top:
-                continue
-            if r.op == "delete":
-                state, top = None, (r.writetime if tombstones else None)
-                continue
-            try:
-                patch = json.loads(r.payload_json)
-            except (TypeError, ValueError):
-                continue
-            if not isinstance(patch, dict):
-                continue
-            top = r.writetime
-            ends = FOREVER if pd.isna(r.ttl) else min(FOREVER, int(r.writetime) + int(r.ttl) * 1_000_000)
-            state = (r.id, r.partition_key, deep_merge(state[2], patch) if state else patch, int(r.writetime), ends)
-        out = [] if state is None else [(*state[:2], json.dumps(state[2], separators=(",", ":")), *state[3:])]
-        return pd.DataFrame(out, columns=["id", "partition_key", "payload_json", "writetime", "expires_at"])
 
-    return rows.groupBy("id").applyInPandas(run, schema)
+def covered(docs: DataFrame, ranges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Deletes (seq, id, partition_key, writetime) for the documents (id, partition_key, seq: when
+    they came) that a range (low, high: arrays of bounds) covers at its time. Every clustering column
+    is held against its own bound, as its own type; the columns are what an id has after its partition
+    key. The join is on the partition key."""
+    d, r = docs.alias("d"), ranges.alias("r")
+    rest = F.col("d.id").substr(F.length("d.partition_key") + 2, F.length("d.id"))
+    parts = F.split(rest, ":", len(kinds)) if len(kinds) > 1 else F.array(rest)
+    inside = F.col("d.seq") < F.col("r.seq")
+    for i, kind in enumerate(kinds):
+        value, low, high = F.get(parts, i).try_cast(kind), F.get("r.low", i).try_cast(kind), F.get("r.high", i).try_cast(kind)
+        inside = inside & (F.get("r.low", i).isNull() | (value > low) | (F.col("r.low_in") & (value == low)))
+        inside = inside & (F.get("r.high", i).isNull() | (value < high) | (F.col("r.high_in") & (value == high)))
+    found = d.join(r, (F.col("d.partition_key") == F.col("r.partition_key")) & inside)
+    return found.select("r.seq", "d.id", "d.partition_key", "r.writetime")
+
+
+def changed_collections(doc: dict, text: str | None) -> dict:
+    """A document after its collection deltas, JSON of column -> {tombstone, remove, add}: cleared,
+    then taken out of, then added to; ``add`` as an object makes the column a map. What is no such
+    JSON is ignored, and a column that holds something else starts anew."""
+    try:
+        deltas = json.loads(text) if text else {}
+    except ValueError:
+        return doc
+    for column, d in deltas.items() if isinstance(deltas, dict) else ():
+        if not isinstance(d, dict):
+            continue
+        base, add = doc.get(column), d.get("add")
+        gone = d.get("remove") if isinstance(d.get("remove"), list) else []
+        if isinstance(add, dict) or (add is None and isinstance(base, dict)):
+            start = {} if d.get("tombstone") or not isinstance(base, dict) else base
+            doc = {**doc, column: {**{k: v for k, v in start.items() if k not in gone}, **(add or {})}}
+            continue
+        out = [] if d.get("tombstone") or not isinstance(base, list) else [x for x in base if x not in gone]
+        for x in add if isinstance(add, list) else []:
+            if x not in out:
+                out.append(x)
+        doc = {**doc, column: out}
+    return doc
+
+
+#: What a fold in order of arrival needs of an operation, and what it gives.
+ROW = ("id", "partition_key", "seq", "op", "writetime", "ttl", "payload_json", "collection_deltas")
+STATE = "id string, partition_key string, payload_json string, writetime long, expires_at long, dead boolean"
+
+
+def replayed(pdf: pd.DataFrame, tombstones: bool = True) -> pd.DataFrame:
+    """The state (STATE, one row or none) after one id's operations (ROW, ttl and the optional
+    expires_at as text), in order of arrival."""
+    doc = top = part = None
+    ends = FOREVER
+    for r in pdf.sort_values("seq", kind="stable").itertuples(index=False):
+        if top is not None and r.writetime <= top:
+            continue
+        if r.op == "delete":
+            doc, part, ends, top = None, r.partition_key, FOREVER, int(r.writetime) if tombstones else None
+            continue
+        deltas = r.collection_deltas if isinstance(r.collection_deltas, str) else None
+        try:
+            patch = {} if deltas and r.payload_json is None else json.loads(r.payload_json)
+        except (TypeError, ValueError):
+            continue
+        if not isinstance(patch, dict):
+            continue
+        doc = changed_collections(deep_merge(doc, patch) if doc is not None else patch, deltas)
+        top, part = int(r.writetime), r.partition_key
+        known = getattr(r, "expires_at", None)
+        ends = int(known) if isinstance(known, str) else FOREVER if not isinstance(r.ttl, str) else min(FOREVER, top + int(r.ttl) * 1_000_000)
+    if top is None:
+        return pd.DataFrame([], columns=["id", "partition_key", "payload_json", "writetime", "expires_at", "dead"])
+    text = None if doc is None else json.dumps(doc, separators=(",", ":"))
+    return pd.DataFrame([(pdf["id"].iloc[0], part, text, top, ends, doc is None)], columns=["id", "partition_key", "payload_json", "writetime", "expires_at", "dead"])
+
+
+def with_deltas(ops: DataFrame) -> DataFrame:
+    """``ops`` with the columns of a log that may be left out."""
+    for c, kind in (("bounds", "array<string>"), ("collection_deltas", "string"), ("stream_id", "string")):
+        if c not in ops.columns:
+            ops = ops.withColumn(c, F.lit(None).cast(kind))
+    return ops
+
+
+def fold_json(ops: DataFrame, tombstones: bool = True) -> DataFrame:
+    """The fold for nested JSON payloads (payload_json, collection_deltas): id, partition_key,
+    payload_json, writetime, expires_at. A payload that is no JSON object is skipped and the stored
+    document stays. Needs the operations of one id at a time, in order of arrival."""
+    rows = after_partition_deletes(with_deltas(ops)).select(*ROW).withColumn("ttl", F.col("ttl").cast("string"))
+    done = rows.groupBy("id").applyInPandas(lambda pdf: replayed(pdf, tombstones), STATE)
+    return done.where("not dead").drop("dead")

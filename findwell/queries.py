@@ -11,6 +11,7 @@ from findwell.operators import analysis as an
 from findwell.operators import index, ingest
 from findwell.operators.search import Documents, Search, list_ids, lookup
 from findwell.plans.query import SearchRequest, parse
+from findwell.streaming import apply
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -347,6 +348,37 @@ def _range(spark, sf_dir):
     return ingest.without_ranges(d, ingest.pair_ranges(_range_log(spark, sf_dir)), "turn").select("id")
 
 
+def _turn_log(spark, sf_dir) -> DataFrame:
+    """Every turn as an upsert, in its order."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    key = F.col("conv_id").cast("string")
+    payload = F.to_json(F.struct("turn", F.array(F.lit("a"), F.concat(F.lit("t"), F.col("turn") % 3)).alias("tags")))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.lit("row_insert").alias("op"), F.concat_ws(":", key, "turn").alias("id"), key.alias("partition_key"), F.lit(50).cast("long").alias("writetime"), F.lit(None).cast("long").alias("ttl"), payload.alias("payload_json"))
+
+
+@_q("stream_range_delete", ORACLES["range_delete"].replace("SELECT conv_id", "SELECT DISTINCT conv_id", 1))
+def _stream_range(spark, sf_dir):
+    """The ranges of ``range_delete`` as a second batch on the state after the first."""
+    first = apply.apply_batch(spark.createDataFrame([], apply.STATE), _turn_log(spark, sf_dir))
+    log = _range_log(spark, sf_dir).withColumn("bounds", F.array(F.col("bound").cast("string"))).drop("bound")
+    log = log.select("*", F.lit(None).cast("string").alias("id"), F.lit(None).cast("long").alias("ttl"), F.lit(None).cast("string").alias("payload_json"))
+    return apply.apply_batch(first, log, ("long",)).where("not dead").select("id")
+
+
+@_q(
+    "stream_set_delta",
+    "SELECT DISTINCT conv_id || ':' || turn AS id, CASE WHEN turn % 4 = 0 THEN 'b' WHEN turn % 4 = 1 THEN 't' || (turn % 3) || ',b' "
+    "WHEN turn % 4 = 2 THEN 'a,t' || (turn % 3) ELSE 'a,t' || (turn % 3) || CASE WHEN turn % 3 = 1 THEN '' ELSE ',t1' END END AS tags FROM conversations",
+)
+def _stream_delta(spark, sf_dir):
+    """Deltas on the stored tags [a, t0..t2]: clear and add b; remove a and add b; none; add t1."""
+    first = apply.apply_batch(spark.createDataFrame([], apply.STATE), _turn_log(spark, sf_dir))
+    deltas = F.element_at(F.array(*[F.lit(x) for x in ('{"tags":{"tombstone":true,"add":["b","b"]}}', '{"tags":{"remove":["a"],"add":["b"]}}', "no json", '{"tags":{"add":["t1","a"]}}')]), (F.substring_index("id", ":", -1).cast("int") % 4 + 1).cast("int"))
+    log = _turn_log(spark, sf_dir).withColumn("op", F.lit("row_update")).withColumn("writetime", F.lit(60).cast("long")).withColumn("payload_json", F.lit(None).cast("string")).withColumn("collection_deltas", deltas)
+    tags = F.array_join(F.from_json(F.get_json_object("payload_json", "$.tags"), "array<string>"), ",")
+    return apply.apply_batch(first, log).where("not dead").select("id", tags.alias("tags"))
+
+
 # analysis
 
 

@@ -1,21 +1,28 @@
 """Streaming ingest: a change log is folded into versioned snapshots, batch by batch.
 
-Each micro-batch is applied to the last snapshot by the same fold as a batch job, together with the
-tombstones that late operations have to be held against, and written as the version of its batch
-number; a pointer file names the version to read. A batch that is replayed after a failure writes
-its version again from the version before it, so the outcome is the same. Snapshots are hashed by
-partition key.
+The state, documents and the tombstones that late operations are held against, lies in buckets of
+partition keys. A micro-batch is applied by the same fold as a batch job, and only to the buckets
+that its operations touch; they are written under the batch's number, and a manifest, written last,
+names the directory of each bucket. A batch that is replayed after a failure starts from the
+manifest before its own, so the outcome is the same. Nothing that a manifest names is overwritten.
+
+Range deletes are resolved against the documents there are when their end arrives; a start whose end
+is in a later batch is kept with the manifest of its batch.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findwell.functions.keys import FOREVER
-from findwell.operators.ingest import after_partition_deletes, classify
+from findwell.operators.ingest import ROW, STATE, after_partition_deletes, classify, covered, open_starts, pair_ranges, replayed, with_deltas
 
-STATE = "id string, partition_key string, payload_json string, writetime long, expires_at long, dead boolean"
+BUCKETS = 32
+#: Range rows that wait for their end.
+PENDING = "seq long, stream_id string, op string, partition_key string, writetime long, bounds array<string>"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -23,20 +30,50 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def versions(spark: SparkSession, where: str) -> list[int]:
-    """Finished snapshot versions, oldest first."""
-    fs, p = _fs(spark, where)
+def _manifests(spark: SparkSession, where: str) -> list[tuple[int, int]]:
+    """(batch, how often it was pruned) of the finished manifests, oldest first."""
+    fs, p = _fs(spark, f"{where}/manifest")
     if not fs.exists(p):
         return []
-    found = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("v=")]
-    done = [x for x in found if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
-    return sorted(int(x.getName()[2:]) for x in done)
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted(tuple(int(x) for x in n[:-5].split(".")) for n in names if n.endswith(".json"))
+
+
+def versions(spark: SparkSession, where: str) -> list[int]:
+    """Batches with a finished snapshot, oldest first."""
+    return sorted({n for n, _ in _manifests(spark, where)})
+
+
+def _read(spark: SparkSession, where: str, which: tuple[int, int]) -> dict:
+    rows = spark.read.text(f"{where}/manifest/{which[0]}.{which[1]}.json", wholetext=True).collect()
+    return json.loads(rows[0]["value"])
+
+
+def _write(spark: SparkSession, where: str, which: tuple[int, int], manifest: dict) -> None:
+    """Written aside, then renamed: a manifest is there as a whole or not at all."""
+    fs, final = _fs(spark, f"{where}/manifest/{which[0]}.{which[1]}.json")
+    _, aside = _fs(spark, f"{where}/manifest/{uuid.uuid4().hex}.tmp")
+    out = fs.create(aside, True)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    fs.delete(final, False)
+    if not fs.rename(aside, final):
+        raise OSError(f"could not write the manifest of batch {which[0]}")
+
+
+def _last(spark: SparkSession, where: str, before: int | None = None) -> tuple[tuple[int, int] | None, dict]:
+    found = [w for w in _manifests(spark, where) if before is None or w[0] < before]
+    return (found[-1], _read(spark, where, found[-1])) if found else (None, {"buckets": {}, "pending": None, "of": BUCKETS})
+
+
+def _state(spark: SparkSession, where: str, manifest: dict, buckets: set[int] | None = None) -> DataFrame:
+    paths = [f"{where}/data/{d}/bucket={k}" for k, d in sorted(manifest["buckets"].items()) if buckets is None or int(k) in buckets]
+    return spark.read.schema(STATE).parquet(*paths) if paths else spark.createDataFrame([], STATE)
 
 
 def state(spark: SparkSession, where: str, before: int | None = None) -> DataFrame:
     """The last state, or the last one older than a batch."""
-    found = [v for v in versions(spark, where) if before is None or v < before]
-    return spark.read.schema(STATE).parquet(f"{where}/v={found[-1]}") if found else spark.createDataFrame([], STATE)
+    return _state(spark, where, _last(spark, where, before)[1])
 
 
 def current(spark: SparkSession, where: str, now_micros: int | None = None) -> DataFrame:
@@ -45,75 +82,86 @@ def current(spark: SparkSession, where: str, now_micros: int | None = None) -> D
     return docs if now_micros is None else docs.where(F.col("expires_at") > now_micros)
 
 
-def apply_batch(old: DataFrame, ops: DataFrame) -> DataFrame:
-    """The state after a batch. Stored rows enter as operations before all others: a document as an
-    upsert of all it holds, a tombstone as a delete."""
-    import json
-
-    import pandas as pd
-
-    from findwell.operators.ingest import deep_merge
-
-    ops = ops.withColumn("op", classify(F.col("op")))
-    stored = old.select(F.lit(-1).cast("long").alias("seq"), F.when(F.col("dead"), "delete").otherwise("upsert").alias("op"), "id", "partition_key", "writetime", F.lit(None).cast("long").alias("ttl"), "payload_json", "expires_at")
-    new = ops.select("seq", "op", "id", F.coalesce("partition_key", "id").alias("partition_key"), "writetime", "ttl", "payload_json", F.lit(None).cast("long").alias("expires_at"))
-    rows = after_partition_deletes(stored.unionByName(new))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc = top = part = None
-        ends = FOREVER
-        for r in pdf.sort_values("seq", kind="stable").itertuples(index=False):
-            if top is not None and r.writetime <= top:
-                continue
-            if r.op == "delete":
-                doc, top, part, ends = None, int(r.writetime), r.partition_key, FOREVER
-                continue
-            try:
-                patch = json.loads(r.payload_json)
-            except (TypeError, ValueError):
-                continue
-            if not isinstance(patch, dict):
-                continue
-            doc, top, part = deep_merge(doc, patch) if doc is not None else patch, int(r.writetime), r.partition_key
-            ends = int(r.expires_at) if not pd.isna(r.expires_at) else FOREVER if pd.isna(r.ttl) else min(FOREVER, top + int(r.ttl) * 1_000_000)
-        if top is None:
-            return pd.DataFrame([], columns=["id", "partition_key", "payload_json", "writetime", "expires_at", "dead"])
-        text = None if doc is None else json.dumps(doc, separators=(",", ":"))
-        return pd.DataFrame([(pdf["id"].iloc[0], part, text, top, ends, doc is None)], columns=["id", "partition_key", "payload_json", "writetime", "expires_at", "dead"])
+def _pending(spark: SparkSession, where: str, manifest: dict) -> DataFrame:
+    return spark.read.schema(PENDING).parquet(f"{where}/data/{manifest['pending']}") if manifest["pending"] else spark.createDataFrame([], PENDING)
+
 
+def apply_batch(old: DataFrame, ops: DataFrame, clustering: tuple[str, ...] = (), pending: DataFrame | None = None) -> DataFrame:
+    """The state after a batch. Stored rows enter as operations before all others: a document as an
+    upsert of all it holds, a tombstone as a delete. ``clustering``: the types of the clustering
+    columns, by which range deletes are resolved; ``pending``: range starts of earlier batches."""
+    ops = with_deltas(ops)
+    stored = old.select(F.lit(-1).cast("long").alias("seq"), F.when(F.col("dead"), "delete").otherwise("upsert").alias("op"), "id", "partition_key", "writetime", F.lit(None).cast("long").alias("ttl"), "payload_json", F.lit(None).cast("string").alias("collection_deltas"), "expires_at")
+    new = ops.withColumn("op", classify(F.col("op"))).select("seq", "op", "id", F.coalesce("partition_key", "id").alias("partition_key"), "writetime", "ttl", "payload_json", "collection_deltas", F.lit(None).cast("long").alias("expires_at"))
+    rows = stored.unionByName(new)
+    if clustering:
+        marks = ops.select("seq", "stream_id", "op", "partition_key", "writetime", "bounds")
+        ranges = pair_ranges(marks if pending is None else pending.unionByName(marks), "bounds")
+        came = rows.where("op = 'upsert'").groupBy("id", "partition_key").agg(F.min("seq").alias("seq"))
+        gone = covered(came, ranges, clustering).withColumn("op", F.lit("delete"))
+        rows = rows.unionByName(gone, allowMissingColumns=True)
+    rows = after_partition_deletes(rows).select(*ROW, "expires_at")
     rows = rows.withColumn("ttl", F.col("ttl").cast("string")).withColumn("expires_at", F.col("expires_at").cast("string"))
-    return rows.groupBy("id").applyInPandas(run, STATE)
+    return rows.groupBy("id").applyInPandas(lambda pdf: replayed(pdf), STATE)
+
+
+def _bucket(partition_key, of: int):
+    return F.pmod(F.xxhash64(partition_key), F.lit(of)).cast("int")
 
 
-def writer(where: str, keep: int = 3):
-    """A foreachBatch function that applies a batch to the last state and writes the next version."""
+def writer(where: str, keep: int = 3, clustering: tuple[str, ...] = ()):
+    """A foreachBatch function that applies a batch to the buckets it touches."""
 
     def run(ops: DataFrame, number: int) -> None:
         spark = ops.sparkSession
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        after = apply_batch(state(spark, where, before=number), ops)
-        after.repartition(n, "partition_key").write.mode("overwrite").parquet(f"{where}/v={number}")
-        for v in versions(spark, where)[:-keep]:
-            fs, p = _fs(spark, f"{where}/v={v}")
-            fs.delete(p, True)
+        _, manifest = _last(spark, where, before=number)
+        of = manifest["of"]
+        touched = {r["b"] for r in ops.select(_bucket(F.coalesce("partition_key", "id"), of).alias("b")).distinct().collect() if r["b"] is not None}
+        pending = _pending(spark, where, manifest)
+        after = apply_batch(_state(spark, where, manifest, touched), ops, clustering, pending).withColumn("bucket", _bucket(F.coalesce("partition_key", "id"), of))
+        after.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{where}/data/v={number}")
+        marks = with_deltas(ops).select("seq", "stream_id", "op", "partition_key", "writetime", "bounds")
+        open_starts(pending.unionByName(marks)).write.mode("overwrite").parquet(f"{where}/data/v={number}-pending")
+        fs, p = _fs(spark, f"{where}/data/v={number}")
+        there = {s.getPath().getName()[7:] for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket=")}
+        buckets = {k: d for k, d in manifest["buckets"].items() if int(k) not in touched} | {k: f"v={number}" for k in there}
+        _write(spark, where, (number, 0), {"buckets": buckets, "pending": f"v={number}-pending", "of": of})
+        _clean(spark, where, keep)
 
     return run
 
 
-def start(ops: DataFrame, where: str, checkpoint: str, once: bool = True):
+def _clean(spark: SparkSession, where: str, keep: int) -> None:
+    """Delete manifests but the last ``keep`` and the directories that none of these names."""
+    found = _manifests(spark, where)
+    for which in found[:-keep]:
+        fs, p = _fs(spark, f"{where}/manifest/{which[0]}.{which[1]}.json")
+        fs.delete(p, False)
+    used = set()
+    for which in found[-keep:]:
+        m = _read(spark, where, which)
+        used |= set(m["buckets"].values()) | {m["pending"]}
+    fs, p = _fs(spark, f"{where}/data")
+    for s in fs.listStatus(p):
+        if s.getPath().getName() not in used:
+            fs.delete(s.getPath(), True)
+
+
+def start(ops: DataFrame, where: str, checkpoint: str, once: bool = True, clustering: tuple[str, ...] = ()):
     """Run the ingest: everything there is now, or on and on."""
-    w = ops.writeStream.foreachBatch(writer(where)).option("checkpointLocation", checkpoint)
+    w = ops.writeStream.foreachBatch(writer(where, clustering=clustering)).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="5 seconds")).start()
 
 
 def prune(spark: SparkSession, where: str, now_micros: int) -> None:
-    """Write the last snapshot again without expired documents; tombstones stay."""
-    last = versions(spark, where)
-    if not last:
+    """A snapshot without expired documents beside the last one, which stays until it is cleaned up;
+    tombstones stay."""
+    which, manifest = _last(spark, where)
+    if which is None:
         return
-    kept = state(spark, where).where(F.col("dead") | (F.col("expires_at") > now_micros))
-    temp = f"{where}/pruned"
-    kept.write.mode("overwrite").parquet(temp)
-    spark.read.schema(STATE).parquet(temp).write.mode("overwrite").parquet(f"{where}/v={last[-1]}")
-    fs, p = _fs(spark, temp)
-    fs.delete(p, True)
+    name = f"v={which[0]}-pruned-{which[1] + 1}"
+    kept = _state(spark, where, manifest).where(F.col("dead") | (F.col("expires_at") > now_micros)).withColumn("bucket", _bucket(F.coalesce("partition_key", "id"), manifest["of"]))
+    kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{where}/data/{name}")
+    fs, p = _fs(spark, f"{where}/data/{name}")
+    there = {s.getPath().getName()[7:] for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket=")}
+    _write(spark, where, (which[0], which[1] + 1), {**manifest, "buckets": dict.fromkeys(there, name)})

@@ -6,7 +6,7 @@ import random
 import pytest
 from findwell.functions.keys import FOREVER, TableSpec, expires_at, with_ids
 from findwell.operators import ingest
-from findwell.sources.oplog import OPS, read_log, stream_log
+from findwell.sources.oplog import LOG, OPS, read_log, stream_log
 from findwell.streaming.apply import current, prune, start
 from pyspark.sql import functions as F
 
@@ -114,3 +114,33 @@ def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
     assert read_log(spark, src, start_micros=1300).where("writetime < 1300").count() == 0
     prune(spark, where, 1500 + 7_000_000)
     assert as_docs(current(spark, where)) == {k: v for k, v in sequential(rows).items() if v[2] > 1500 + 7_000_000}
+
+
+def test_range_deletes_and_deltas_in_the_stream(spark, tmp_path):
+    """A range over two clustering columns whose end comes a batch later, a set and a map."""
+    src, where, check = (f"{tmp_path}/{d}" for d in ("log", "docs", "check"))
+    up = lambda seq, key, wt, doc, deltas=None: (seq, "s", "row_update", f"u:{key}", "u", wt, None, doc, None, deltas)
+    mark = lambda seq, op, wt, *bounds: (seq, "s", op, None, "u", wt, None, None, list(bounds), None)
+    batches = [
+        [up(1, "1:a", 5, '{"x":1}'), up(2, "2:b", 5, '{"x":2,"tags":["p","q"],"m":{"k":1}}'), up(3, "10:b", 5, '{"x":3}'), up(4, "2:z", 5, '{"x":4}'), mark(5, "range_del_excl_left", 9, "1", "a")],
+        [up(6, "2:c", 5, '{"x":5}'), mark(7, "range_del_incl_right", 9, "10", "b"), up(8, "2:b", 8, '{"late":1}')],
+        [up(9, "2:b", 12, None, '{"tags":{"add":["r"]}}'), up(10, "2:b", 13, '{"tags":["p","q"],"m":{"k":1}}', '{"tags":{"remove":["p"],"add":["q","s"]},"m":{"remove":["k"],"add":{"j":2}},"bad":7}')],
+    ]
+    want = [{"u:1:a", "u:2:b", "u:10:b", "u:2:z"}, {"u:1:a", "u:2:z", "u:2:c"}, {"u:1:a", "u:2:z", "u:2:c", "u:2:b"}]
+    for rows, ids in zip(batches, want, strict=True):
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").json(src)
+        start(stream_log(spark, src), where, check, clustering=("int", "string")).awaitTermination()
+        assert {r["id"] for r in current(spark, where).collect()} == ids
+    docs = as_docs(current(spark, where))
+    assert docs["u:2:b"][0] == {"tags": ["q", "s"], "m": {"j": 2}}
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    src, where, check = (f"{tmp_path}/{d}" for d in ("log", "docs", "check"))
+    row = lambda seq, pk: (seq, "s", "row_insert", pk, pk, seq, None, '{"x":1}', None, None)
+    for rows in ([row(i, f"p{i}") for i in range(50)], [row(99, "p3")]):
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").json(src)
+        start(stream_log(spark, src), where, check).awaitTermination()
+    written = {d.name: sum(x.name.startswith("bucket=") for x in d.iterdir()) for d in (tmp_path / "docs" / "data").iterdir()}
+    assert written["v=0"] > 5 and written["v=1"] == 1 and current(spark, where).count() == 50
+    assert {r["id"]: r["writetime"] for r in current(spark, where).collect()}["p3"] == 99
