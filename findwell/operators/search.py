@@ -181,22 +181,36 @@ class Search:
 
 def search_shards(spark, paths: list[str], build, request: SearchRequest, **options) -> SearchResponse:
     """Search documents kept in several directories. With ALL, one that can't be read fails the
-    request; otherwise those that can be read answer, if there is at least one."""
-    frames, errors = [], []
+    request; otherwise those that can be read answer, if there is at least one. A shard may also fail
+    while it is read; then each is read by itself to see which, and the others are asked again."""
+    frames, errors = {}, []
     for p in paths:
         try:
             df = spark.read.parquet(p)
             df.schema
-            frames.append(df)
+            frames[p] = df
         except Exception as e:
             errors.append(f"{p}: {type(e).__name__}")
-    if errors and (request.consistency == ALL or not frames):
-        name = "ALL" if request.consistency == ALL else "ANY"
-        raise SearchFailure(f"Consistency {name} failed: {len(frames)}/{len(paths)} nodes succeeded", errors)
-    whole = frames[0]
-    for f in frames[1:]:
-        whole = whole.unionByName(f, allowMissingColumns=True)
-    return Search(build(whole), request, **options).run()
+    while True:
+        if errors and (request.consistency == ALL or not frames):
+            name = "ALL" if request.consistency == ALL else "ANY"
+            raise SearchFailure(f"Consistency {name} failed: {len(frames)}/{len(paths)} nodes succeeded", errors)
+        whole = None
+        for f in frames.values():
+            whole = f if whole is None else whole.unionByName(f, allowMissingColumns=True)
+        try:
+            return Search(build(whole), request, **options).run()
+        except Exception:
+            failed = []
+            for p, f in frames.items():
+                try:
+                    f.write.format("noop").mode("overwrite").save()
+                except Exception as e:
+                    failed.append(p)
+                    errors.append(f"{p}: {type(e).__name__}")
+            if not failed:  # the request itself is at fault
+                raise
+            frames = {p: f for p, f in frames.items() if p not in failed}
 
 
 def lookup(docs: Documents, id: str) -> DataFrame:

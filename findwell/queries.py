@@ -99,6 +99,13 @@ _matches("fts_bare", parts, "ring economy", f"{has('p_name', 'ring')} OR {has('p
 _matches("fts_default_fields", parts, "red brand", f"({has('p_name', 'red')} OR {has('p_brand', 'red')}) AND ({has('p_name', 'brand')} OR {has('p_brand', 'brand')})", "part", "p_partkey", default_fields=("p_name", "p_brand"))
 _matches("fts_multi_or", parts, "document.p_name:(hot plate) OR document.p_type:(hot plate) OR document.tags:(hot plate)", f"{has('p_name', 'hot')} OR {has('p_name', 'plate')}", "part", "p_partkey")
 _matches("fts_raw", docs, "partition_key:src3", "source='src3'", "documents", "doc_id")
+_NESTED = lambda spark, sf_dir: Documents.of_variant(
+    table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("partition_key"), F.lit(FOREVER).alias("expires_at"),
+        F.parse_json(F.to_json(F.struct(F.col("p_name").alias("name"), F.struct(F.col("p_size").alias("size"), F.struct(F.lower("p_type").alias("kind")).alias("more")).alias("spec")))).alias("document"),
+    ), {"name": "text", "spec.size": "number", "spec.more.kind": "text"},
+)
+_matches("fts_nested_path", _NESTED, "document.spec.size:[10 TO 20] AND (document.name:ring OR spec.more.kind:economy)", f"p_size BETWEEN 10 AND 20 AND ({has('p_name', 'ring')} OR {has('p_type', 'economy')})", "part", "p_partkey")
 _EVENTS = lambda spark, sf_dir: Documents(table(spark, sf_dir, "events"), F.col("event_id"), cols=["event_type", "ts", "value"])
 _matches("fts_timerange", _EVENTS, "event_type:purchase AND document.ts:[1704500000000 TO 1705500000000]", "event_type='purchase' AND epoch_us(ts) BETWEEN 1704500000000000 AND 1705500000000000", "events", "event_id")
 
@@ -456,6 +463,12 @@ def _strptime(spark, sf_dir):
 _COUNTED = ["customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
 
 
+@_q("an_views", "SELECT l_returnflag, count(*) AS n, round(sum(o_totalprice),2) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def _views(spark, sf_dir):
+    an.as_views(spark, {f"fw_{t}": f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders")})
+    return spark.sql("SELECT l_returnflag, count(*) AS n, round(sum(o_totalprice),2) AS total FROM fw_lineitem JOIN fw_orders ON l_orderkey = o_orderkey GROUP BY 1")
+
+
 @_q("an_union_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _COUNTED))
 def _counts(spark, sf_dir):
     out = None

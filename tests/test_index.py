@@ -4,10 +4,11 @@ import glob
 
 import duckdb
 import pytest
-from findwell.operators.index import Index, build
-from findwell.operators.search import Search
-from findwell.plans.query import Fuzzy, Prefix, SearchRequest, Term
+from findwell.operators.index import Index, build, opened
+from findwell.operators.search import Documents, Search
+from findwell.plans.query import Fuzzy, Prefix, QueryError, SearchRequest, Term, parse
 from findwell.queries import ORACLES, QUERIES, docs, parts
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +45,22 @@ def test_oracle(spark, name):
     assert cols == sorted(want.columns)
     places = [want.columns.index(c) for c in cols]
     assert sorted(str(tuple(r[c] for c in cols)) for r in got.collect()) == sorted(str(tuple(r[i] for i in places)) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("query", ["text:der AND text:die", "text:der^2 text:die -text:ein", 'text:"of the" text:der', "text:le*", "text:dre~1 lang:de", "(text:der OR text:die) AND lang:de", 'text:"of the"^3'])
+def test_answers_equal_scans(spark, query):
+    d = docs(spark, SF)
+    index = opened(d, ["text", "lang"], f"{SF}/documents.parquet")
+    scan = {r["id"]: round(r["score"], 9) for r in Search(d, SearchRequest(query, 10_000)).hits().collect()}
+    assert {r["id"]: round(r["score"], 9) for r in index.answer(parse(query)).collect()} == scan and scan
+
+
+def test_an_index_is_made_once_and_anew_for_new_files(spark, tmp_path):
+    spark.createDataFrame([(1, "one two")], "doc_id long, text string").write.parquet(f"{tmp_path}/t")
+    make = lambda: opened(Documents(spark.read.parquet(f"{tmp_path}/t"), F.col("doc_id"), cols=["text"]), ["text"], f"{tmp_path}/t")
+    first = make()
+    assert make().postings.inputFiles() == first.postings.inputFiles()
+    spark.createDataFrame([(2, "one")], "doc_id long, text string").write.mode("append").parquet(f"{tmp_path}/t")
+    assert sorted(r["id"] for r in make().answer(parse("text:one")).collect()) == [1, 2]
+    with pytest.raises(QueryError):
+        first.answer(parse("text:/o.*/"))

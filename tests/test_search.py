@@ -2,7 +2,8 @@
 
 import pytest
 from findwell.functions.text import literal_tokens
-from findwell.operators.search import ALL, ANY, Documents, Search, SearchFailure, search_shards
+from findwell.functions.keys import TableSpec, with_ids
+from findwell.operators.search import ALL, ANY, Documents, Search, SearchFailure, list_ids, lookup, search_shards
 from findwell.plans.query import QueryError, SearchRequest, expanded, parse
 from pyspark.sql import functions as F
 
@@ -106,3 +107,67 @@ def test_shards(spark, tmp_path):
     assert search_shards(spark, paths, make, SearchRequest("title:one", 5, consistency=ANY)).total_hits == 1
     with pytest.raises(SearchFailure, match="Consistency ALL failed: 1/2 nodes succeeded"):
         search_shards(spark, paths, make, SearchRequest("title:one", 5, consistency=ALL))
+
+
+@pytest.mark.parametrize("name, column", [("fts_range", "p_retailprice"), ("fts_timerange", "ts"), ("fts_cmp", "p_size"), ("fts_raw", "source"), ("list_ids_by_partition", "conv_id"), ("lookup_by_id", "doc_id")])
+def test_predicates_reach_the_scan(spark, name, column):
+    from findwell.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    pushed = [x.split("]")[0] for x in plan.split("PushedFilters: [")[1:]]
+    assert any(f"{op}({column}," in x for x in pushed for op in ("GreaterThan", "GreaterThanOrEqual", "EqualTo"))
+
+
+def test_keys_are_compared_with_their_types(spark):
+    rows = spark.createDataFrame([(7, "a"), (None, "b"), (8, "x:y")], "k long, c string")
+    d = Documents(with_ids(rows, TableSpec(("k",), ("c",))), F.col("id"), F.col("partition_key"), cols=["c"], spec=TableSpec(("k",), ("c",)))
+    assert [r["id"] for r in list_ids(d, "7").collect()] == ["7:a"] and list_ids(d, "07").count() == 0
+    assert [r["id"] for r in list_ids(d, "null").collect()] == ["null:b"] and lookup(d, "8:x:y").count() == 1
+
+
+def test_any_answers_when_a_shard_fails_while_it_is_read(spark, tmp_path):
+    for i in (1, 2):
+        spark.createDataFrame([(i, "red")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/s{i}")
+    paths = [f"{tmp_path}/s1", f"{tmp_path}/s2"]
+    bad = next((tmp_path / "s2").glob("*.parquet"))
+    raw = bytearray(bad.read_bytes())
+    raw[4 : len(raw) // 3] = bytes(len(raw) // 3 - 4)  # the footer stays, so its schema can be read
+    bad.write_bytes(bytes(raw))
+    for crc in (tmp_path / "s2").glob(".*.crc"):
+        crc.unlink()
+    make = lambda df: Documents(df, F.col("doc_id"), cols=["text"])
+    assert [h["id"] for h in search_shards(spark, paths, make, SearchRequest("text:red", 5, consistency=1)).hits] == [1]
+    with pytest.raises(SearchFailure, match="1/2"):
+        search_shards(spark, paths, make, SearchRequest("text:red", 5, consistency=2))
+
+
+def test_load_mix():
+    from findwell.operators.load import measure, mixed
+
+    got = mixed([["a"], ["b"], ["c"], ["d"]], 4000)
+    assert got == mixed([["a"], ["b"], ["c"], ["d"]], 4000) and abs(got.count("a") / 4000 - 0.4) < 0.05
+    seen = []
+    out = measure(seen.append, got[:50], warm_up=5, threads=4)
+    assert len(seen) == 55 and out["n"] == 50 and out["p50_ms"] <= out["p95_ms"] <= out["p99_ms"]
+
+
+def test_peak_rate_against_pairs(spark):
+    import random
+
+    from findwell.operators.analysis import nearest_rank, peak_rate
+
+    r = random.Random(4)
+    rows = sorted({(k, t) for k in "ab" for t in (r.randrange(0, 4000) for _ in range(200))})
+    rows = [(k, t, i) for i, (k, t) in enumerate(rows)]
+    want = {}
+    for k, t, c in rows:
+        ahead = min(((u, d) for x, u, d in rows if x == k and u >= t + 300), default=None)
+        if ahead:
+            want[k] = max(want.get(k, -1), (ahead[1] - c) / (ahead[0] - t))
+    got = {x["k"]: x["peak"] for x in peak_rate(spark.createDataFrame(rows, "k string, t long, c long"), ["k"], "t", "c", 300).collect()}
+    assert {k: round(v, 6) for k, v in want.items()} == got
+    values = [("a", float(r.randrange(50))) for _ in range(999)] + [("b", 1.0), ("c", None)]
+    for share in (0.0, 0.5, 0.95, 1.0):
+        got = {x["k"]: x["value"] for x in nearest_rank(spark.createDataFrame(values, "k string, v double"), ["k"], "v", share).collect()}
+        own = sorted(v for k, v in values if k == "a")
+        assert got == {"a": own[min(int(len(own) * share), len(own) - 1)], "b": 1.0, "c": None}
