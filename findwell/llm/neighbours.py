@@ -1,26 +1,26 @@
-"""Operator 9. Nearest neighbours: block search, or an NN-descent graph with greedy search.
-
-The registered query searches in blocks: each block of queries meets each block of classes in one
-task, which keeps the queries' best. It is exact. The graph search (``graph=True``) reached a recall
-of 0.977 on 10,256 vectors but 0.85 to 0.87 on 51,282 (64 dimensions without structure), short of
-the 0.9 that is asked for, so it isn't the default; its work grows with the number of queries, that
-of the block search with queries times vectors.
+"""Operator 9. Nearest neighbours by an NN-descent graph and greedy search in it.
 
 Equal vectors are one class, known by its smallest vec_id and its ``TOP + 1`` smallest members
-(more can never be among one query's nearest ``TOP``). The graph joins classes: it starts from
-random-hyperplane cells, cut into chunks of bounded size, and is then improved by iterative joins:
-a node's neighbours, forward and reverse, meet in one row and every pair of them that is nearer
-than what either has is proposed as an edge. Queries walk the graph: the best ``BEAM`` nodes found
-so far are expanded to their neighbours, round after round, and the final candidates are scored on
-the original vectors in double precision.
+(more can never be among one query's nearest ``TOP``). The graph joins classes. It starts from
+random-hyperplane cells, and from cells that are random altogether, cut into chunks of bounded
+size, so that every class begins with ``DEGREE`` neighbours if there are so many. Then iterative
+joins improve it: the neighbours of each node, forward and reverse, meet in one row, and every pair
+of them that is nearer than the farthest neighbour the first one has is proposed as an edge, until
+few edges change or ``DESCENTS`` rounds have passed.
+
+A query starts from its own class's neighbours, forward and reverse. Round after round the best
+``BEAM`` classes found so far that have not been expanded yet are joined with their rows of the
+packed graph (neighbours with their vectors), and what is nearer than the beam's last joins the
+beam. The beam's best ``FINAL`` are scored on the original vectors in double precision.
 
-Graph and search use vectors quantised to 8 bits; the reported scores do not.
+Graph and search use vectors quantised to 8 bits; the reported scores do not. Work grows with
+vectors times degree squared, and with queries times beam: never with queries times vectors.
 
 Defined cases: vectors that are null, zero, hold a null or non-finite component, or differ in
 length from the commonest length take no part, as queries or candidates; rows repeated with the
-same vec_id are candidates of each other's like any other rows; ties go to the smaller vec_id;
-fewer candidates than ``TOP`` are all returned if the search finds them; an empty table gives no
-rows; other columns are ignored.
+same vec_id are candidates of each other's like any other rows; ties among what is found go to the
+smaller vec_id; fewer candidates than ``TOP`` are all returned; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,16 +38,15 @@ from findwell.llm.common import Scratch
 
 TOP = 20
 DEGREE = 40
-BEAM = 64
+BEAM = 160
+HOPS = 5
 CELL = 600
+#: Tables of hyperplane cells; one more table of random cells follows them.
 TABLES = 3
-DESCENTS = 4
-HOPS = 3
-PROPOSALS = 12
+DESCENTS = 9
+#: Descent ends when a round changes less than this share of the edges.
+SETTLED = 0.01
 FINAL = 64
-#: Queries and vectors that meet in one task of the block search, about.
-QUERY_BLOCK = 1024
-VECTOR_BLOCK = 8192
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -89,6 +88,8 @@ def _cells(planes: np.ndarray):
             for t in range(planes.shape[0]):
                 bits = (x @ planes[t] > 0).astype(np.int64)
                 cell = bits @ (1 << np.arange(bits.shape[1], dtype=np.int64)) if bits.shape[1] else np.zeros(b.num_rows, np.int64)
+                if t == TABLES:
+                    cell[:] = 0
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(cell, pa.int64()), b.column("id"), b.column("q")], names=["t", "cell", "id", "q"])
 
     return run
@@ -108,7 +109,7 @@ def _within(table: pa.Table) -> pa.Table:
 
 
 def _meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours of one node meet: pairs nearer than what the first of them has so far."""
+    """Neighbours of one node meet: pairs nearer than the last that the first of them has."""
     for b in it:
         m = b.column("m")
         flat = m.flatten()
@@ -117,18 +118,12 @@ def _meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = np.cumsum([0, *[len(r) for r in m]])
         src, dst, sim = [], [], []
         for a, z in zip(offsets[:-1], offsets[1:], strict=True):
-            n = z - a
-            if n < 2:
-                continue
             s = x[a:z] @ x[a:z].T
             np.fill_diagonal(s, -np.inf)
-            k = min(PROPOSALS, n - 1)
-            at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            v = np.take_along_axis(s, at, 1)
-            i, j = np.nonzero(v > thr[a:z, None])
+            i, j = np.nonzero(s > thr[a:z, None])
             src.append(ids[a:z][i])
-            dst.append(ids[a:z][at[i, j]])
-            sim.append(v[i, j])
+            dst.append(ids[a:z][j])
+            sim.append(s[i, j])
         if src:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst)), pa.array(np.concatenate(sim).astype(np.float32))], names=["src", "dst", "sim"])
 
@@ -151,78 +146,60 @@ def descend(vectors: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """The neighbour graph (src, dst, sim) of (id, q)."""
     dim = len(vectors.first()["q"])
     bits = max(0, math.ceil(math.log2(max(1, n / (CELL / 2)))))
-    planes = np.random.default_rng(7).standard_normal((TABLES, dim, bits)).astype(np.float32)
+    planes = np.random.default_rng(7).standard_normal((TABLES + 1, dim, bits)).astype(np.float32)
     celled = scratch.keep(vectors.mapInArrow(_cells(planes), "t int, cell long, id long, q binary"), "cells")
     chunks = celled.groupBy("t", "cell").agg(F.ceil(F.count("*") / CELL).alias("chunks"))
     chunk = F.pmod(F.xxhash64("id", "t"), F.col("chunks"))
     edges = celled.join(chunks, ["t", "cell"]).withColumn("chunk", chunk).groupBy("t", "cell", "chunk").applyInArrow(_within, _EDGE)
-    graph = scratch.keep(_nearest(edges), "graph0")
+    graph = scratch.keep(_nearest(edges), "graph0", free=True)
     for step in range(1, DESCENTS + 1):
         far = graph.groupBy("src").agg(F.when(F.count("*") >= DEGREE, F.min("sim")).otherwise(F.lit(-math.inf)).cast("float").alias("thr")).withColumnRenamed("src", "id")
         known = vectors.join(far, "id", "left").select("id", "q", F.coalesce("thr", F.lit(-math.inf).cast("float")).alias("thr"))
         members = both_ways(graph).select("src", F.col("dst").alias("id")).join(known, "id").groupBy("src").agg(F.collect_list(F.struct("id", "thr", "q")).alias("m")).select("m")
-        graph = scratch.keep(_nearest(graph.unionByName(members.mapInArrow(_meet, _EDGE))), f"graph{step}")
+        new = scratch.keep(_nearest(graph.unionByName(members.mapInArrow(_meet, _EDGE))), f"graph{step}", free=True)
+        changed = new.join(graph.select("src", "dst"), ["src", "dst"], "left_anti").count()
         scratch.drop(f"graph{step - 1}")
+        graph = new
+        if changed < SETTLED * n * DEGREE:
+            break
     return graph
 
 
-def _score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _expand(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, q, thr, to) -> (src, dst, sim) for the neighbours in ``to`` nearer than thr."""
     for b in it:
-        for own, query, m in zip(b.column("id").to_pylist(), b.column("q").to_pylist(), b.column("m"), strict=True):
-            flat = m.values
-            ids = flat.field("id").to_numpy()
-            s = _vectors(flat.field("q"), len(ids)) @ np.frombuffer(query, np.int8).astype(np.float32)
-            k = min(FINAL, len(ids))
-            at = np.argpartition(-s, k - 1)[:k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, own, np.int64)), pa.array(ids[at]), pa.array(s[at].astype(np.float32))], names=["src", "dst", "sim"])
+        m = b.column("to")
+        flat = m.flatten()
+        sizes = np.array([len(r) for r in m])
+        row = np.repeat(np.arange(b.num_rows), sizes)
+        sim = np.einsum("ij,ij->i", _vectors(flat.field("q"), len(row)), _vectors(b.column("q"), b.num_rows)[row])
+        src, dst = b.column("src").to_numpy()[row], flat.field("id").to_numpy()
+        ok = (sim > b.column("thr").to_numpy()[row]) & (src != dst)
+        yield pa.RecordBatch.from_arrays([pa.array(src[ok]), pa.array(dst[ok]), pa.array(sim[ok])], names=["src", "dst", "sim"])
 
 
 def walk(starts: DataFrame, vectors: DataFrame, graph: DataFrame, scratch: Scratch) -> DataFrame:
     """Greedy search from the nodes ``starts`` (id): the best FINAL (src, dst, sim) found for each."""
-    near = scratch.keep(both_ways(graph), "near")
-    lists = near.groupBy("src").agg(F.collect_list("dst").alias("to")).withColumnRenamed("src", "at")
-    beam = starts.join(near, F.col("id") == F.col("src")).select("src", "dst", "sim")
-    done = None
-    for hop in range(HOPS):
-        front = _first(beam, ["src"], [F.desc("sim"), F.col("dst")], BEAM).select("src", F.col("dst").alias("at"))
-        if done is not None:
-            front = front.join(done, ["src", "at"], "left_anti")
-        front = scratch.keep(front, f"front{hop}")
-        done = front if done is None else done.unionByName(front)
-        met = front.join(lists, "at").groupBy("src").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))
-        met = met.select("src", F.explode("to").alias("id")).where("id != src")
-        members = met.join(vectors, "id").groupBy("src").agg(F.collect_list(F.struct("id", "q")).alias("m")).join(vectors.withColumnRenamed("id", "src"), "src").select(F.col("src").alias("id"), "q", "m")
-        found = members.mapInArrow(_score, _EDGE).unionByName(beam)
-        beam = scratch.keep(_first(found.groupBy("src", "dst").agg(F.max("sim").alias("sim")), ["src"], [F.desc("sim"), F.col("dst")], FINAL), f"beam{hop}")
-    return beam
-
-
-def _block(table: pa.Table) -> pa.Table:
-    """A block of queries against a block of vectors: each query's best FINAL."""
-    ids, own = table.column("id").to_numpy(), table.column("side").to_numpy() == 0
-    v = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-    a, b = ids[own], ids[~own]
-    if not len(a) or not len(b):
-        return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-    s = v[own] @ v[~own].T
-    k = min(FINAL, len(b))
-    at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    return pa.table({"src": np.repeat(a, k), "dst": b[at].ravel(), "sim": np.take_along_axis(s, at, 1).ravel()})
-
-
-def blocked(starts: DataFrame, nodes: DataFrame, n: int, scratch: Scratch) -> DataFrame:
-    """Exact search: the best FINAL (src, dst, sim) of each of ``starts`` among ``nodes``. A query
-    goes to every block of vectors and a vector to every block of queries; blocks are bounded."""
-    across = max(1, -(-starts.count() // QUERY_BLOCK))
-    down = max(1, -(-n // VECTOR_BLOCK))
-    spread = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    q = starts.join(nodes, "id").select(F.pmod(F.xxhash64("id"), F.lit(across)).cast("int").alias("qb"), spread(down).alias("cb"), F.lit(0).alias("side"), "id", "v")
-    c = nodes.select(spread(across).alias("qb"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(down)).cast("int").alias("cb"), F.lit(1).alias("side"), "id", "v")
-    found = q.unionByName(c).groupBy("qb", "cb").applyInArrow(_block, "src long, dst long, sim double")
-    return scratch.keep(_first(found, ["src"], [F.desc("sim"), F.col("dst")], FINAL), "blocked")
-
-
-def search(rows: DataFrame, every: int = 20, graph: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    lists = both_ways(graph).join(vectors, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("at")).agg(F.collect_list(F.struct("id", "q")).alias("to"))
+    lists = scratch.keep(lists, "lists", free=True)
+    order = [F.desc("sim"), F.col("dst")]
+    back = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim")
+    near = graph.unionByName(back).join(starts.withColumnRenamed("id", "src"), "src", "left_semi").distinct()
+    beam = scratch.keep(_first(near, ["src"], order, BEAM).withColumn("done", F.lit(False)), "beam0", free=True)
+    own = vectors.join(starts, "id", "left_semi").withColumnRenamed("id", "src")
+    for hop in range(1, HOPS + 1):
+        thr = beam.groupBy("src").agg(F.when(F.count("*") >= BEAM, F.min("sim")).otherwise(F.lit(-math.inf)).cast("float").alias("thr"))
+        front = beam.where("not done").select("src", F.col("dst").alias("at")).join(own.join(thr, "src"), "src")
+        found = front.join(lists, "at").select("src", "q", "thr", "to").mapInArrow(_expand, _EDGE).withColumn("done", F.lit(False))
+        both = beam.withColumn("done", F.lit(True)).unionByName(found).groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.max("done").alias("done"))
+        beam = scratch.keep(_first(both, ["src"], order, BEAM), f"beam{hop}", free=True)
+        scratch.drop(f"beam{hop - 1}")
+        if not beam.where("not done").limit(1).count():
+            break
+    return _first(beam.select("src", "dst", "sim"), ["src"], order, FINAL)
+
+
+def search(rows: DataFrame, every: int = 20, scratch: Scratch | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for the queries, rows whose vec_id is divisible by ``every``."""
     spark = rows.sparkSession
     scratch = scratch or Scratch(spark, "neighbours")
@@ -238,12 +215,9 @@ def search(rows: DataFrame, every: int = 20, graph: bool = False, scratch: Scrat
         return spark.createDataFrame([], out)
     queries = hashed.where(F.col("vec_id") % every == 0).join(classes, ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), F.col("id"))
     starts = queries.select("id").distinct()
-    if graph:
-        largest = nodes.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0]
-        vectors = scratch.keep(nodes.select("id", "v").mapInArrow(_quantiser(127.0 / largest), "id long, q binary"), "vectors")
-        beam = walk(starts, vectors, descend(vectors, n, scratch), scratch)
-    else:
-        beam = blocked(starts, nodes.select("id", "v"), n, scratch)
+    largest = nodes.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0]
+    vectors = scratch.keep(nodes.select("id", "v").mapInArrow(_quantiser(127.0 / largest), "id long, q binary"), "vectors")
+    beam = walk(starts, vectors, descend(vectors, n, scratch), scratch)
     beam = beam.select("src", "dst").where("src <> dst").unionByName(starts.select(F.col("id").alias("src"), F.col("id").alias("dst")))
     a, b = nodes.select(F.col("id").alias("src"), F.col("v").alias("x")), nodes.select(F.col("id").alias("dst"), F.col("v").alias("y"))
     dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
