@@ -5,12 +5,14 @@ token counts, an index of block starts, then blocks of ``BLOCK`` ids. A block st
 a bit width chosen at a percentile of the differences, the packed differences and a list of
 exceptions (place, high part) for the values that the width cannot hold.
 
-Images are rows of a Parquet table in the shared folder, so writing and reading need nothing but
-Spark's own file systems; an image never exceeds ``IMAGE_IDS`` ids unless one document does.
-
-Defined cases: null or empty text is one end id; repeated rows are separate documents, ties of
-doc_id are ordered by text; null doc_ids come first; an empty table gives no rows; other columns
-are ignored.
+Images are rows of a Parquet table, at a path of the caller's or in the shared folder, so writing and
+reading need nothing but Spark's own file systems; an image never exceeds ``IMAGE_IDS`` ids unless
+one document does. ``read_block`` reads one block of one image through the index.
+
+Defined cases: null or empty text is one end id; repeated rows are separate documents; ties of
+doc_id are ordered by a hash of the text, so that no null or repeated id fills a task (rows alike
+in both are dealt over neighbouring tasks); null doc_ids come first; a very long text is a document
+of one image like any other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -172,14 +174,26 @@ def _reader(bases: dict[int, int]):
     return run
 
 
-def write_token_files(docs: DataFrame, vocab: str | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """Encode ``docs`` and write file images in ascending doc_id order. One shuffle of the texts by
-    range; each task then encodes and writes its range, holding one image at a time."""
+def write_token_files(docs: DataFrame, vocab: str | None = None, scratch: Scratch | None = None, path: str | None = None) -> DataFrame:
+    """Encode ``docs`` and write file images in ascending doc_id order, to ``path`` where they stay or
+    else to a scratch table. One shuffle of the texts by range; each task then encodes and writes its
+    range, holding one image at a time."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "token-files")
     shared = spark.sparkContext.broadcast(vocab or tokens.vocabulary())
-    ordered = texts(docs).repartitionByRange(width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return scratch.keep(ordered.mapInArrow(_writer(shared), _IMAGE), "images")
+    dealt = texts(docs).select("doc_id", F.xxhash64("text").alias("h"), (F.monotonically_increasing_id() % 1024).alias("k"), "text")
+    ordered = dealt.repartitionByRange(width(spark), "doc_id", "h", "k").sortWithinPartitions("doc_id", "h", "text")
+    images = ordered.select("doc_id", "text").mapInArrow(_writer(shared), _IMAGE)
+    if path is None:
+        return scratch.keep(images, "images")
+    images.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def read_block(images: DataFrame, part: int, seq: int, block: int) -> np.ndarray:
+    """The ids of one block of one image, found by the index of block starts."""
+    f = Image(images.where((F.col("part") == part) & (F.col("seq") == seq)).first()["image"])
+    return f.block(block)[: f.n_ids - block * BLOCK]
 
 
 def read_token_files(images: DataFrame) -> DataFrame:

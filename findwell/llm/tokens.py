@@ -1,16 +1,15 @@
 """Token ids of texts: the tokenizers library behind a bounded cache of pieces.
 
-A text of ASCII and Latin-1 letters, digits and ASCII marks is cut by the vocabulary's own
-pre-tokenizer rule in Python, and the pieces not yet known are merged all at once by the
-vocabulary's merge list. Any other text is cut at white space, which no piece crosses, and its
-chunks go through the library; one with the control characters on which Python's and the
-library's notions of white space differ goes through it whole.
+All ids are the library's. A text of ASCII and Latin-1 letters, digits and ASCII marks is cut by
+the vocabulary's own pre-tokenizer rule, any other text at white space, which no token crosses; one
+with the control characters on which Python's and the library's notions of white space differ is
+not cut. The pieces not seen before are encoded together, as one text with marks between, whose id
+tells them apart: a call for each would cost more than the work itself.
 """
 
 from __future__ import annotations
 
 import gc
-import json
 import re
 
 import numpy as np
@@ -23,8 +22,12 @@ _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-
 #: The rule above holds for vocabularies with this split.
 _RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+"
 END_ID = 1
-#: Longer chunks go through the library, whose merges do not take a round each.
+#: Longer pieces are not remembered.
 _LONGEST = 64
+#: Stands between pieces that are encoded together; in this vocabulary it has an id of its own.
+MARK = "~"
+#: Characters of one call for new pieces.
+GROUP = 1 << 16
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -37,84 +40,6 @@ def vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
-def _byte_chars() -> list[str]:
-    """The printable stand-in of each byte in byte-level vocabularies."""
-    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spare = iter(range(256, 512))
-    return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
-
-
-class Merges:
-    """Byte-pair merges of many pieces at once: in each round every piece of one length merges its
-    leftmost pair of lowest rank, so a round costs a few array operations for all of them."""
-
-    SLOTS = 22
-
-    def __init__(self, vocab: str):
-        model = json.loads(vocab)["model"]
-        ids, end = model["vocab"], model["end_of_word_suffix"] or ""
-        chars = _byte_chars()
-        self.inner = np.array([ids.get(c, 0) for c in chars], np.int64)
-        self.last = np.array([ids.get(c + end, 0) for c in chars], np.int64)
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        keys = np.array([(ids[a] << 32) | ids[b] for a, b in pairs], np.int64)
-        made = np.array([ids[a + b] for a, b in pairs], np.int64)
-        self.keys, self.made = np.append(keys, -1), np.append(made, 0)
-        self.none = len(keys)
-        self.table = np.full((2, 1 << self.SLOTS), self.none, np.int32)
-        slot, left = self._slot(keys, 0), np.arange(len(keys))
-        self.table[0][slot] = left
-        left = left[self.table[0][slot] != left]  # a later key took the slot
-        slot = self._slot(keys[left], 1)
-        self.table[1][slot] = left
-        if (self.table[1][slot] != left).any():
-            raise ValueError("two keys share both slots")
-
-    def _slot(self, keys: np.ndarray, which: int) -> np.ndarray:
-        odd = np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[which])
-        return ((keys.astype(np.uint64) * odd) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
-
-    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = (a << 32) | b
-        r = self.table[0][self._slot(keys, 0)]
-        r = np.where(self.keys[r] == keys, r, self.none)
-        if len(rest := np.flatnonzero(r == self.none)):
-            t = self.table[1][self._slot(keys[rest], 1)]
-            r[rest] = np.where(self.keys[t] == keys[rest], t, self.none)
-        return r
-
-    def encode(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece as bytes; all pieces are UTF-8 and of one length."""
-        n, m = len(pieces), len(pieces[0])
-        raw = np.frombuffer(b"".join(pieces), np.uint8).reshape(n, m)
-        sym = self.inner[raw]
-        sym[:, -1] = self.last[raw[:, -1]]
-        out: list[bytes] = [b""] * n
-        rows = np.arange(n)
-        rank = self.rank(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, m - 1)
-        while len(rows):
-            over = (rank.min(axis=1) == self.none) if sym.shape[1] > 1 else np.ones(len(rows), bool)
-            if over.any():
-                flat, size = sym[over].astype("<u4").tobytes(), 4 * sym.shape[1]
-                for i, r in enumerate(rows[over].tolist()):
-                    out[r] = flat[i * size : (i + 1) * size]
-                rows, sym, rank = rows[~over], sym[~over], rank[~over]
-                if not len(rows):
-                    break
-            w, at = sym.shape[1], rank.argmin(axis=1)
-            here = np.arange(len(rows))
-            sym[here, at] = self.made[rank[here, at]]
-            keep = np.arange(w)[None, :] != (at + 1)[:, None]
-            sym = sym[keep].reshape(len(rows), w - 1)
-            rank = rank[keep[:, 1:] if w > 1 else keep].reshape(len(rows), w - 2)
-            if w > 2:
-                a = np.flatnonzero(at > 0)
-                rank[a, at[a] - 1] = self.rank(sym[a, at[a] - 1], sym[a, at[a]])
-                z = np.flatnonzero(at < w - 2)
-                rank[z, at[z]] = self.rank(sym[z, at[z]], sym[z, at[z] + 1])
-        return out
-
-
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, without the end id."""
 
@@ -123,7 +48,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(vocab)
         self.own = _RULE in vocab
-        self.merges = Merges(vocab) if self.own else None
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.known: dict[str, bytes] = {}
         self.most = most
 
@@ -137,22 +63,25 @@ class Encoder:
             return _PIECES.findall(text.lower())
         if _DIFFER.search(text):
             return [text]
-        return ["\0" + c for c in text.split()]  # other chunks of text, marked as such
+        return text.split()
 
     def _ids(self, new: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        by_length: dict[int, tuple[list[str], list[bytes]]] = {}
-        for p in new:
-            if p[0] == "\0" and len(p) > 1:
-                out[p] = self.whole(p[1:])
-            elif len(p) > _LONGEST or not self.own or not _PLAIN.fullmatch(p):
-                out[p] = self.whole(p)
-            else:
-                group = by_length.setdefault(len(raw := p.encode()), ([], []))
-                group[0].append(p)
-                group[1].append(raw)
-        for names, raws in by_length.values():
-            out.update(zip(names, self.merges.encode(raws), strict=True))
+        """Ids of pieces by calls of about GROUP characters each, a mark of one id between pieces."""
+        out = {p: self.whole(p) for p in new if self.mark is None or MARK in p or _DIFFER.search(p)}
+        rest, at = [p for p in new if p not in out], 0
+        while at < len(rest):
+            size, z = 0, at
+            while z < len(rest) and (z == at or size + len(rest[z]) < GROUP):
+                size += len(rest[z]) + 3
+                z += 1
+            group, at = rest[at:z], z
+            ids = np.asarray(self.tokenizer.encode_batch_fast([f" {MARK} ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            if len(ends) != len(group) + 1:  # the mark stands for something else as well
+                out.update((p, self.whole(p)) for p in group)
+                continue
+            raw = ids.tobytes()
+            out.update((p, raw[4 * a + 4 : 4 * z]) for p, a, z in zip(group, ends, ends[1:], strict=False))
         return out
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 from findwell.llm import token_files, tokens
-from findwell.llm.token_files import Image, read_token_files, write_image, write_token_files
+from findwell.llm.token_files import Image, read_block, read_token_files, write_image, write_token_files
 
 
 @pytest.mark.parametrize("n", [0, 1, 4095, 4096, 4097, 20000])
@@ -36,13 +36,25 @@ def test_ids_are_the_library_s():
 
 def test_documents_round_trip(spark, monkeypatch):
     monkeypatch.setattr(token_files, "IMAGE_IDS", 50)
-    rows = [(i * 7 % 101, f"text {i} " * (i % 9), "s", 0) for i in range(101)] + [(None, "none", "s", 0), (3, None, "s", 0), (3, "again", "s", 0)]
+    rows = [(i * 7 % 101, f"text {i} " * (i % 9), "s", 0) for i in range(101)] + [(None, "none", "s", 0)] * 3 + [(None, f"none {i}", "s", 0) for i in range(40)] + [(3, None, "s", 0), (3, "again", "s", 0), (200, "very long " * 30_000, "s", 0)]
     got = read_token_files(write_token_files(spark.createDataFrame(rows, "doc_id long, text string, part string, seq int"))).collect()
     enc, at = tokens.Encoder(tokens.vocabulary()), 0
-    want = []
-    for d, t, *_ in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
-        x = enc.encode(t) + np.array([1], "<u4").tobytes()
-        want.append((d, at, len(x) // 4, zlib.crc32(x)))
-        at += len(x) // 4
-    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    crc = lambda t: (len(x := enc.encode(t) + np.array([1], "<u4").tobytes()) // 4, zlib.crc32(x))
+    assert sorted((str(d), *crc(t)) for d, t, *_ in rows) == sorted((str(g["doc_id"]), g["n_tokens"], g["ids_crc32"]) for g in got)
+    order = sorted(got, key=lambda g: g["start"])
+    for g in order:
+        assert g["start"] == at
+        at += g["n_tokens"]
+    ids = [g["doc_id"] for g in order]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
     assert read_token_files(write_token_files(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_files_that_stay_and_one_block(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i} " * 300) for i in range(60)], "doc_id long, text string")
+    write_token_files(docs, path=f"{tmp_path}/files")
+    images = spark.read.parquet(f"{tmp_path}/files")
+    one = images.orderBy("part", "seq").first()
+    whole = Image(one["image"]).ids()
+    assert (read_block(images, one["part"], one["seq"], 1) == whole[token_files.BLOCK : 2 * token_files.BLOCK]).all()
+    assert images.agg({"n_ids": "sum"}).first()[0] == sum(len(tokens.Encoder(tokens.vocabulary()).encode(f"word{i} " * 300)) // 4 + 1 for i in range(60))
