@@ -144,3 +144,14 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     written = {d.name: sum(x.name.startswith("bucket=") for x in d.iterdir()) for d in (tmp_path / "docs" / "data").iterdir()}
     assert written["v=0"] > 5 and written["v=1"] == 1 and current(spark, where).count() == 50
     assert {r["id"]: r["writetime"] for r in current(spark, where).collect()}["p3"] == 99
+
+
+def test_results_are_kept_and_seed_rows_are_stable(spark, tmp_path):
+    from findwell.sources.oplog import products, read_results, write_results
+
+    for n in (1, 2):
+        write_results(spark.createDataFrame([("q", n * 1.5)], "query string, ms double"), f"{tmp_path}/r")
+    assert sorted(r["ms"] for r in read_results(spark, f"{tmp_path}/r").collect()) == [1.5, 3.0]
+    one, two = products(spark, 20).collect(), products(spark, 50).where("product_id < 20").collect()
+    assert sorted(map(str, one)) == sorted(map(str, two)) and len(one[0]) == 14
+    assert all(1 <= r["rating"] <= 5 and r["updated_at"] >= r["created_at"] and r["attributes"]["colour"] for r in one)
