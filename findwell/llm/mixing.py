@@ -7,9 +7,14 @@ space of two balancing constraints, words and documents, in bounded blocks of a
 each block leaves undecided, two documents at most, meets in the next level's blocks, until one
 block of a source is left and its last two documents are landed with the least error in words.
 
+Rows alike in doc_id, source and text are counted together first and then numbered, so each is a
+document of its own in a block chosen by id, text and number: neither a null id nor a repeated row,
+however frequent, fills a block, and the outcome depends on the rows alone.
+
 Defined cases: null text has size 0 and is never taken; a source of size 0 has target 0; null
-sources are one source, the last; repeated rows are separate documents; an empty table gives no
-rows; other columns are ignored. Draws are seeded from the block, so reruns agree.
+sources are one source, the last; null doc_ids and repeated rows are separate documents; a very
+long text is one document of its size; an empty table gives no rows; other columns are ignored.
+Draws are seeded from the block, so reruns agree.
 
 The table of sources (name, size) comes to the driver: it is as long as there are sources, not
 documents.
@@ -21,7 +26,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from findwell.llm.common import WORD_PATTERN, Scratch, documents
 
@@ -30,8 +34,6 @@ MOST = 3
 #: Documents that one block of the flight phase holds, about.
 BLOCK = 4096
 _NEAR = 1e-9
-#: Stands for a null doc_id while rows are in pandas.
-_NULL = -(1 << 63)
 
 
 def targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
@@ -90,45 +92,52 @@ def land(size: np.ndarray, p: np.ndarray, left: list[int]) -> None:
         p[i] = float(best >> k & 1)
 
 
-_STATE = "uid long, doc_id long, src int, blocks long, size long, whole int, p double"
+_KEY = ["doc_id", "none", "h", "k"]
+_STATE = "doc_id long, none boolean, h long, k long, src int, blocks long, size long, whole int, p double"
 
 
 def _level(seed: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         src, block = int(key[0]), int(key[1])
-        pdf = pdf.sort_values(["size", "doc_id", "uid"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", *_KEY], kind="stable").reset_index(drop=True)
         size, p = pdf["size"].to_numpy(np.int64), pdf["p"].to_numpy(np.float64).copy()
         left = fly(size, p, np.random.default_rng([seed, src, block]))
         if pdf["blocks"].iloc[0] == 1:
             land(size, p, left)
         pdf["p"] = p
-        return pdf[["uid", "doc_id", "src", "blocks", "size", "whole", "p"]]
+        return pdf[[*_KEY, "src", "blocks", "size", "whole", "p"]]
 
     return run
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """What decides about a document: doc_id (0 where there is ``none``), text hash h, source, size."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("none"), F.xxhash64(text).alias("h"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"))
+
+
 def mix(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, list[tuple]]:
-    """(decisions, sources): one row per document with doc_id, src, size, copies; the sources as
-    (src, size, target) by place in code-point order."""
+    """(decisions, sources): one row per document with doc_id, none, h, src, size, copies; the
+    sources as (src, name, size, target) by place in code-point order."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mixing")
-    size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD_PATTERN)).cast("long")
-    sized = scratch.keep(docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sized")
-    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    alike = scratch.keep(_keyed(docs).groupBy("doc_id", "none", "h", "source", "size").agg(F.count("*").alias("n")), "alike")
+    found = alike.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")).collect()
     sizes = {r["source"]: int(r["size"]) for r in found}
     rows = {r["source"]: int(r["n"]) for r in found}
     wanted = targets(sizes)
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     share = [(s, i, wanted[s] / sizes[s] if sizes[s] else 0.0, -(-rows[s] // BLOCK)) for i, s in enumerate(names)]
     plan = spark.createDataFrame(share, "name string, src int, share double, blocks long")
-    state = sized.join(plan, sized["source"].eqNullSafe(plan["name"])).select(
-        "uid", "doc_id", "src", "blocks", "size", F.floor("share").cast("int").alias("whole"), F.when(F.col("size") > 0, F.col("share") - F.floor("share")).otherwise(0.0).alias("p")
+    state = alike.join(plan, alike["source"].eqNullSafe(plan["name"])).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select(
+        *_KEY, "src", "blocks", "size", F.floor("share").cast("int").alias("whole"), F.when(F.col("size") > 0, F.col("share") - F.floor("share")).otherwise(0.0).alias("p")
     )
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
     parts, level = [state.where(~open_)], 0
     state = state.where(open_)
     while True:
-        block = F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("blocks"))
+        block = F.pmod(F.xxhash64(*_KEY, F.lit(level)), F.col("blocks"))
         done = scratch.keep(state.withColumn("block", block).groupBy("src", "block").applyInPandas(_level(level), _STATE), f"level{level}")
         parts.append(done.where(~open_))
         left = {r["src"]: r["n"] for r in done.where(open_).groupBy("src").agg(F.count("*").alias("n")).collect()}
@@ -142,22 +151,35 @@ def mix(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, lis
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(F.nullif("doc_id", F.lit(_NULL)).alias("doc_id"), "src", "size", (F.col("whole") + F.col("p").cast("int")).alias("copies")), [(i, sizes[s], wanted[s]) for i, s in enumerate(names)]
+    decided = out.select("doc_id", "none", "h", "src", "size", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
+    return decided, [(i, s, sizes[s], wanted[s]) for i, s in enumerate(names)]
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided, sources = mix(documents(spark, sf_dir))
-    table = spark.createDataFrame(sources, "src int, source_size long, target double")
-    return decided.join(table, "src").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    table = spark.createDataFrame([(i, size, target) for i, _, size, target in sources], "src int, source_size long, target double")
+    doc_id = F.when(~F.col("none"), F.col("doc_id")).alias("doc_id")
+    return decided.join(table, "src").select(doc_id, "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the mix takes them: each as often as decided, all columns kept."""
-    decided, _ = mix(docs)
-    copies = decided.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("size", "copies"))).alias("__fw_copies"))
-    size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD_PATTERN))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(size))
-    numbered = docs.withColumn("__fw_place", place)
-    joined = numbered.alias("d").join(copies.withColumnRenamed("doc_id", "__fw_id").alias("c"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("c.__fw_id")))
-    times = F.col("__fw_copies")[F.col("__fw_place") - 1]["copies"]
-    return joined.where(times > 0).withColumn("__fw_time", F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    """The documents as the mix takes them: each as often as decided, all columns kept. Rows alike in
+    doc_id, source and text are taken equally often; where that leaves a rest, one of them more."""
+    scratch = Scratch(spark, "mixing")
+    decided, sources = mix(docs, scratch)
+    names = spark.createDataFrame([(i, s) for i, s, _, _ in sources], "src int, name string")
+    total = decided.groupBy("doc_id", "none", "h", "src").agg(F.sum("copies").alias("total"), F.count("*").alias("n")).where("total > 0").join(names, "src")
+    whole = F.floor(F.col("total") / F.col("n")).cast("int")
+    taken = total.select(F.col("doc_id").alias("__fw_id"), F.col("none").alias("__fw_none"), F.col("h").alias("__fw_h"), F.col("name").alias("__fw_source"), whole.alias("__fw_times"), (F.col("total") - whole * F.col("n")).alias("__fw_rest"))
+    taken = scratch.keep(taken, "taken", free=True)
+    text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    keyed = docs.withColumns({"__fw_a": F.coalesce(doc_id, F.lit(0)), "__fw_b": doc_id.isNull(), "__fw_c": F.xxhash64(text), "__fw_d": F.col("source").cast("string")})
+    same = (F.col("__fw_a") == F.col("__fw_id")) & (F.col("__fw_b") == F.col("__fw_none")) & (F.col("__fw_c") == F.col("__fw_h")) & F.col("__fw_d").eqNullSafe(F.col("__fw_source"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    out = keyed.join(taken.where("__fw_times > 0"), same).withColumn("__fw_time", F.explode(F.sequence(F.lit(1), F.col("__fw_times")))).select(*own)
+    if not taken.where("__fw_rest > 0").limit(1).count():
+        return out
+    packed = F.struct(*[x.alias(f"c{i}") for i, x in enumerate(own)]).alias("__fw_row")
+    more = keyed.join(taken.where("__fw_rest > 0"), same).groupBy("__fw_a", "__fw_b", "__fw_c", "__fw_d").agg(F.first(packed).alias("__fw_row"), F.first("__fw_rest").alias("__fw_rest"))
+    more = more.withColumn("__fw_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__fw_rest").cast("long"))))
+    return out.unionByName(more.select(*[F.col(f"__fw_row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))

@@ -42,8 +42,28 @@ def test_mix(spark, tmp_path):
     assert len(per) == 4
     for (size, target), taken in per.items():
         assert abs(sum(taken) - target) <= 60 and target <= 3 * size
-    again = op5_mix_sources(spark, str(tmp_path)).collect()
+    docs.orderBy("text").repartition(7).write.parquet(f"{tmp_path}/other/documents.parquet")
+    again = op5_mix_sources(spark, f"{tmp_path}/other").collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert op5_mix_sources(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_null_ids_and_repeated_rows_fill_no_block(spark, monkeypatch):
+    """A third of the rows without an id, another third one row again and again, one long text."""
+    monkeypatch.setattr("findwell.llm.mixing.BLOCK", 32)
+    rows = [(i, "w " * (1 + i % 9), "a") for i in range(300)] + [(None, "v " * (1 + i % 7), "a") for i in range(300)] + [(7, "again and again", "b")] * 300 + [(8, "long " * 100_000, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    decided, sources = mix(docs)
+    got = decided.collect()
+    assert len(got) == 901
+    for src, name, size, target in sources:
+        own = [g for g in got if g["src"] == src]
+        assert size == sum(g["size"] for g in own) and abs(sum(g["copies"] * g["size"] for g in own) - target) <= 60_000
+    counts = sorted(g["copies"] for g in got if g["doc_id"] == 7 and not g["none"])
+    out = mix_stage(spark, docs, "")
+    assert out.columns == docs.columns and out.count() == sum(g["copies"] for g in got)
+    assert out.where("doc_id = 7 and source = 'b'").count() == sum(counts) - sum(g["copies"] for g in got if g["doc_id"] == 7 and g["size"] != 3)
 
 
 def test_stage_takes_as_decided(spark, tmp_path):
