@@ -2,7 +2,8 @@
 
 import random
 
-from findwell.llm.near_dedup import K, T, classified, family, near_dedup_stage
+import numpy as np
+from findwell.llm.near_dedup import K, T, classified, family, may_link, near_dedup_stage, sketches
 
 
 def shingles(text):
@@ -76,9 +77,39 @@ def test_links_between_members_of_classes(spark):
     assert {(r["doc_id"] // 1000, r["class_id"], r["class_size"]) for r in got} == {(f, 1000 * f, 84) for f in (2, 12, 14, 18)}
 
 
+def test_many_rows_without_an_id_and_long_texts(spark):
+    """1,000 rows without an id and 200 under one id, all different; a long text and its near copy."""
+    r = random.Random(9)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    long_ = text(30_000).split()
+    rows = [(None, text(12)) for _ in range(1000)] + [(7, text(12)) for _ in range(200)] + [(1, " ".join(long_)), (2, " ".join([*long_[:15_000], "new", *long_[15_000:]])), (None, " ".join(long_[:29_000]))]
+    got = classified(spark.createDataFrame([(*x, 0, "k") for x in rows], "doc_id long, text string, n int, key string")).collect()
+    assert len(got) == len(rows)
+    assert sorted((g["class_id"], g["class_size"]) for g in got if g["n_shingles"] > 1000) == [(1, 3)] * 3
+    assert all(g["class_size"] == 1 and g["class_id"] == g["doc_id"] for g in got if g["n_shingles"] < 1000)
+
+
+def test_sketches_turn_no_linked_pair_away():
+    r = np.random.default_rng(2)
+    away = n = 0
+    for size in (3, 20, 90, 400, 3000):
+        for _ in range(300):
+            a = r.integers(0, 1 << 63, size, dtype=np.uint64)
+            keep = int(np.ceil(T * size))
+            b = np.concatenate([a[:keep], r.integers(0, 1 << 63, size - keep, dtype=np.uint64)])
+            x, y = sketches([np.unique(a)]), sketches([np.unique(b)])
+            away += not may_link(np.array([size]), np.array([size]), x, y)[0][0]
+            n += 1
+    assert away <= n // 500
+    far = [np.unique(r.integers(0, 1 << 63, 400, dtype=np.uint64)) for _ in range(20)]
+    s = sketches(far)
+    assert not may_link(np.full(19, 400), np.full(19, 400), s[:-1], s[1:])[0].any()
+
+
 def test_stage_and_empty(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f", "s"), (2, "A b c d e f", "t"), (3, "other", "t"), (3, "other", "t"), (None, "a", "n"), (None, "b", "n")], "doc_id long, text string, source string")
-    assert sorted(map(str, map(tuple, near_dedup_stage(spark, docs, "").collect()))) == sorted(map(str, [(1, "a b c d e f", "s"), (3, "other", "t"), (None, "a", "n"), (None, "b", "n")]))
+    docs = spark.createDataFrame([(1, "a b c d e f", "s"), (2, "A b c d e f", "t"), (3, "other", "t"), (3, "other", "t"), (3, "another text", "u"), (None, "a", "n"), (None, "a", "n"), (None, "b", "n"), (None, "other", "n")], "doc_id long, text string, source string")
+    want = [(1, "a b c d e f", "s"), (3, "other", "t"), (3, "another text", "u"), (None, "a", "n"), (None, "b", "n")]
+    assert sorted(map(str, map(tuple, near_dedup_stage(spark, docs, "").collect()))) == sorted(map(str, want))
     assert near_dedup_stage(spark, docs.limit(0), "").count() == 0
 
 
