@@ -7,7 +7,8 @@ block of it is compressed with each dictionary. The language with the fewest byt
 margin to the second is the score, and a margin below ``MARGIN`` is a rejection.
 
 Documented bounds of the fit: about ``SAMPLE`` texts a language, none longer than ``LONGEST``
-characters, and ``DICTIONARY`` bytes of folded text each. Prediction reads whole texts.
+characters, and ``DICTIONARY`` bytes of folded text each. They come to the driver, so its memory bounds the number of
+languages. Prediction reads whole texts, however long.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; only non-null labels
 are learned; a tie goes to the first language in order, with score 0; with one learned language
@@ -17,10 +18,10 @@ are separate documents; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ BLOCK = 1024
 MARGIN = 0.002
 NONE = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
+#: Anything but letters. (Digits, fractions, numbered signs and marks are none.)
+_OTHER = regex.compile(r"\P{L}+")
 
 
 def fold(text: str) -> bytes:
