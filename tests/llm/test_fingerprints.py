@@ -43,7 +43,7 @@ def like(a, b):
 def check(spark, rows):
     got = fingerprints(spark.createDataFrame(rows, "doc_id long, text string, bucket string, next int")).collect()
     assert len(got) == len(rows)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest((r[1] or "").encode(), SEED))))
     want = []
     for i, r in enumerate(order):
         t, n = r[1] or "", order[(i + 1) % len(order)][1] or ""
@@ -63,6 +63,11 @@ def test_small_texts(spark):
     check(spark, rows)
 
 
+def test_frequent_and_missing_ids(spark):
+    rows = [(None, f"no id {i} at all", "x", 1) for i in range(60)] + [(5, f"the same id {i}", "x", 1) for i in range(60)] + [(i, f"own {i}", "x", 1) for i in range(10)] + [(None, "twice", "x", 1)] * 20
+    check(spark, rows)
+
+
 def test_single_and_none(spark):
     check(spark, [(1, "one two three four five six", "", 0)])
     check(spark, [(None, None, "", 0), (None, "x", "", 0)])
