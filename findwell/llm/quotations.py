@@ -77,9 +77,9 @@ def _runs(words: Column) -> Column:
     return F.when(F.size(words) > 0, found).otherwise(F.array().cast("array<bigint>"))
 
 
-def quoted_runs(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, passage, run): the distinct runs of each message's passages, level 0
-    being what it wrote itself. A passage, known by its words' hash, starts at a line that is not
+def passage_runs(messages: DataFrame, quoted: bool) -> DataFrame:
+    """(conv_id, turn, level, passage, run): the distinct runs of each message's passages, those that
+    it quotes or those at level 0, which it wrote itself. A passage, known by its words' hash, starts at a line that is not
     blank and has a blank line or another level before it."""
     flat = messages.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     blank = lambda x: _strip(x["body"]) == ""
@@ -90,18 +90,20 @@ def quoted_runs(messages: DataFrame) -> DataFrame:
     body = lambda s, k: F.array_join(F.transform(F.slice("lines", s + 1, F.coalesce(F.get("starts", k + 1), F.size("lines")) - s), lambda x: x["body"]), " ")
     whole = F.transform("starts", lambda s, k: F.struct(F.get("lines", s)["level"].alias("level"), _words(body(s, k)).alias("words")))
     own = F.filter(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: F.struct(x["level"].alias("level"), _words(x["body"]).alias("words"))), lambda x: F.size(x["words"]) < K)
-    flat = flat.select("conv_id", "turn", F.explode(F.concat(whole, own)).alias("p")).where("p.level >= 0")
+    flat = flat.select("conv_id", "turn", F.explode(F.filter(whole, lambda x: x["level"] > 0) if quoted else F.concat(F.filter(whole, lambda x: x["level"] == 0), own)).alias("p"))
     flat = flat.select("conv_id", "turn", "p.level", F.xxhash64(F.array_join("p.words", " ")).alias("passage"), F.col("p.words").alias("words"))
     runs = flat.select("conv_id", "turn", "level", F.when(F.col("level") > 0, F.col("passage")).alias("passage"), F.explode(_runs(F.col("words"))).alias("run"))
     return runs.distinct()
 
 
-def linked_runs(messages: DataFrame) -> DataFrame:
+def linked_runs(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, level, passage, source): each quoted run with the latest earlier turn that
-    wrote it."""
-    flat = quoted_runs(messages)
-    quotes = flat.where("level > 0")
-    wrote = flat.where("level = 0").join(quotes.select("conv_id", "run").distinct(), ["conv_id", "run"], "left_semi")
+    wrote it. Only messages with a quote, and the conversations that have any, are cut into runs."""
+    rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    quoting = rows.where(F.col("text").rlike(r"(?m)^[ \t]*>"))
+    quotes = passage_runs(parsed(quoting), True)
+    wrote = passage_runs(parsed(rows.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")), False)
+    wrote = wrote.join(quotes.select("conv_id", "run").distinct(), ["conv_id", "run"], "left_semi")
     events = quotes.unionByName(wrote.select(*quotes.columns)).withColumn("stretch", F.floor(F.col("turn") / TURNS)).withColumn("wrote", F.when(F.col("level") == 0, F.col("turn")))
     key = ["conv_id", "run"]
     # at one turn quotes come first, so that a message is no source of itself
@@ -132,7 +134,7 @@ def linked(rows: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     text."""
     scratch = scratch or Scratch(rows.sparkSession, "quotations")
     messages = parsed(rows)
-    links = scratch.keep(linked_runs(messages).groupBy("conv_id", "turn", "level", "passage", "source").agg(F.count("*").alias("n")), "links")
+    links = scratch.keep(linked_runs(rows).groupBy("conv_id", "turn", "level", "passage", "source").agg(F.count("*").alias("n")), "links")
     votes = links.where("level = 1").groupBy("conv_id", "turn", "source").agg(F.sum("n").alias("n"))
     best = F.max(F.struct("n", "source")).alias("best")
     parents = scratch.keep(votes.groupBy("conv_id", "turn").agg(best).select("conv_id", "turn", F.col("best.source").alias("parent_turn")), "parents")
