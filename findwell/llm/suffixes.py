@@ -8,14 +8,16 @@ strings always lie in runs of one anchor, and text without repeats drops out as
 1. Runs with the same anchor and the same bytes are settled by hash: all but the first are
    repeats. A batch of texts settles its own first, so one passage in a third of all documents
    costs a record a batch.
-2. Anchors whose runs still differ bring their runs' bytes together, in buckets. There each shard
-   of runs gets its Burrows-Wheeler transform by itself, and the shards are merged by iterative
-   interleave refinement: a merged order by k symbols, read as one column of preceding symbols and
-   sorted stably, is the order by k + 1 symbols, and an entry leaves its predecessor's block in the
-   round in which their common prefix ends. After 100 rounds the blocks are the intervals with a
-   common prefix of 100, the repeated strings, without any suffix being sorted anew. A block of one
-   entry is settled, and so is a prefix that reaches a run's end: what comes of them can't repeat,
-   so they leave the interleave and the rounds get cheaper.
+2. Anchors whose runs still differ bring their runs' bytes together, in buckets. There groups of
+   anchors are merged one after another, so that a large bucket costs no more a byte. Each shard
+   of a group's runs gets its Burrows-Wheeler transform by itself, and the shards are merged by
+   iterative interleave refinement: a merged order by k symbols, read as one column of preceding
+   symbols and sorted stably, is the order by k + 1 symbols (or more, where a column holds several
+   symbols), and an entry leaves its predecessor's block in the round in which their common prefix
+   ends. At 100 symbols the blocks are the intervals with a common prefix of 100, the repeated
+   strings, without any suffix being sorted anew. A block of one entry is settled, and so is a
+   prefix that reaches a run's end: what comes of them can't repeat, so they leave the interleave
+   and the rounds get cheaper.
 3. Anchors with a great many different runs (found beforehand from a share of the batches; which
    ones are found changes no result) are settled string by string, each string its own anchor.
 
@@ -42,6 +44,10 @@ LENGTH = 100
 GRAM = 32
 STARTS = LENGTH - GRAM + 1
 SHARDS = 4
+#: Symbols that a round of the interleave puts before a prefix.
+SYMBOLS = 4
+#: Bytes of runs merged at a time, about: arrays of that size stay in a core's cache.
+TOGETHER = 1 << 17
 #: Bytes of a batch: places must fit PLACE_BITS.
 BATCH = 4 << 20
 PLACE_BITS = 26
@@ -283,31 +289,56 @@ def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def interleave(columns: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge transforms by refinement: the entries (shard, row) that share a prefix of ``rounds``
-    symbols without a 0 with another one, in merged order, and the block of each."""
+    symbols without a 0 with another one, in merged order, and the block of each. A round puts
+    SYMBOLS symbols at once before a prefix, the last rounds one each."""
     shard = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
     symbols = np.concatenate(columns)
     base = np.cumsum([0, *[len(c) for c in columns]])
     # where a row goes when its preceding symbol is put before it, shard by shard
-    step = np.empty(len(symbols), np.int64)
+    step = np.empty(len(symbols), np.int32)
     for s, c in enumerate(columns):
         step[base[s] + np.argsort(c, kind="stable")] = base[s] + np.arange(len(c))
-    row, block = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
-    for _ in range(rounds):
-        before = symbols[row]
-        order = np.argsort(before, kind="stable")
-        order = order[np.searchsorted(before[order], 1) :]  # a 0 ends a run
+    wide, far, ends = symbols.astype(np.uint32), step, symbols == 0
+    for i in range(1, SYMBOLS):
+        wide |= symbols[far].astype(np.uint32) << np.uint32(8 * i)
+        ends = ends | (symbols[far] == 0)
+        far = step[far]
+    wide[ends] = 0
+    values, place = np.unique(wide, return_inverse=True)
+    wide = place.astype(np.uint16) if len(values) < 1 << 16 else place  # two bytes are sorted by counting
+    if values[0]:
+        wide += 1
+    row, block = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
+    for column, to in [(wide, far)] * (rounds // SYMBOLS) + [(symbols, step)] * (rounds % SYMBOLS):
+        before = column[row]
+        inside = np.flatnonzero(before)  # a 0 ends a run
+        order = inside[np.argsort(before[inside], kind="stable")]
         symbol, old = before[order], block[order]
         new = np.append(True, (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1]))[: len(order)]
-        alone = new & np.append(new[1:], True)[: len(order)]
-        order, block = order[~alone], np.cumsum(new)[~alone]
-        row = step[row[order]]
+        more = np.flatnonzero(~(new & np.append(new[1:], True)[: len(order)]))
+        block = np.cumsum(new, dtype=np.int32)[more]
+        row = to[row[order[more]]]
     return shard[row], row - base[shard[row]], block
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Runs of one bucket -> spans of strings that start earlier in another run."""
-    parts = table.column("bytes").to_pylist()
-    doc, begin = table.column("doc").to_numpy(), table.column("begin").to_numpy()
+    """Runs of one bucket -> spans of strings that start earlier in another run. Equal strings lie in
+    runs of one anchor, so anchors are merged in groups of about TOGETHER bytes, and the time of a
+    bucket is in proportion to its bytes."""
+    anchor = table.column("anchor").to_numpy()
+    by = np.argsort(anchor, kind="stable")
+    parts, doc, begin = table.column("bytes").to_pylist(), table.column("doc").to_numpy()[by], table.column("begin").to_numpy()[by]
+    parts = [parts[i] for i in by]
+    heads = np.flatnonzero(np.append(True, np.diff(anchor[by]) != 0))
+    room = np.cumsum([len(x) + 1 for x in parts])[np.append(heads[1:], len(parts)) - 1] // TOGETHER
+    cuts = [0, *heads[1:][np.diff(room) > 0].tolist(), len(parts)]
+    found = [_strings(parts[a:z], doc[a:z], begin[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
+    spans = _joined(*[np.concatenate(x) for x in zip(*found, strict=True)])
+    return pa.table({"doc": pa.array(spans[0], pa.int64()), "begin": pa.array(spans[1], pa.int64()), "end": pa.array(spans[2], pa.int64())})
+
+
+def _strings(parts: list[bytes], doc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of strings of runs that start earlier in another of the runs, by merged transforms."""
     group = np.arange(len(parts)) * SHARDS // len(parts)
     columns, places = [], []
     for s in range(SHARDS):
@@ -333,8 +364,7 @@ def _merge(table: pa.Table) -> pa.Table:
     # the first of its block stays, and so does the same place seen twice
     head = np.flatnonzero(~later)[np.cumsum(~later) - 1]
     later &= (d != d[head]) | (at != at[head])
-    spans = _joined(d[later], at[later], at[later] + LENGTH)
-    return pa.table({"doc": pa.array(spans[0], pa.int64()), "begin": pa.array(spans[1], pa.int64()), "end": pa.array(spans[2], pa.int64())})
+    return _joined(d[later], at[later], at[later] + LENGTH)
 
 
 def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:

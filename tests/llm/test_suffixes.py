@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from findwell.llm import suffixes
 from findwell.llm.suffixes import LENGTH, interleave, stripped, transform
@@ -85,3 +86,26 @@ def test_interleave_finds_shared_prefixes_in_order():
         for s, j, b in zip(shard.tolist(), row.tolist(), block.tolist(), strict=True):
             got.setdefault(b, set()).add((s, int(made[s][0][j])))
         assert [got[b] for b in sorted(got)] == want
+
+
+def test_large_bucket_is_merged_in_groups_of_anchors(monkeypatch):
+    r, rows = random.Random(8), []
+    for anchor in range(300):
+        core = bytes(r.choice(b"abcd ") for _ in range(130))
+        rows += [(anchor, 10 * anchor + k, 7 * k, bytes(r.choice(b"xyz") for _ in range(k)) + core[: 130 - k]) for k in range(3)]
+    r.shuffle(rows)
+    names = ["anchor", "doc", "begin", "bytes"]
+    seen, real = [], suffixes.interleave
+
+    def counted(columns, rounds):
+        seen.append(sum(len(c) for c in columns))
+        return real(columns, rounds)
+
+    def merge(some):
+        return {tuple(x.values()) for x in suffixes._merge(pa.table(dict(zip(names, zip(*some, strict=True), strict=True)))).to_pylist()}
+
+    want = set().union(*[merge([x for x in rows if x[0] == a]) for a in range(300)])
+    monkeypatch.setattr(suffixes, "interleave", counted)
+    monkeypatch.setattr(suffixes, "TOGETHER", 4000, raising=False)
+    assert merge(rows) == want and len(want) == 600
+    assert max(seen) < 4000 + 3 * 131 and sum(seen) == 900 * 131
