@@ -88,15 +88,15 @@ class Encoder:
         collects = gc.isenabled()
         gc.disable()  # no cycles are made here, and walking the cache costs more than the work
         try:
-            cut = [self._cut(t) for t in texts]
-            found = [list(map(self.known.get, pieces)) for pieces in cut]
-            new = {p for pieces, ids in zip(cut, found, strict=True) for p, x in zip(pieces, ids, strict=True) if x is None}
-            if new:
-                ids = self._ids(list(new))
-                found = [x if None not in x else [i if i is not None else ids[p] for p, i in zip(pieces, x, strict=True)] for pieces, x in zip(cut, found, strict=True)]
-                if len(self.known) < self.most:
-                    self.known.update((p, i) for p, i in ids.items() if len(p) <= _LONGEST)
-            return [b"".join(x) for x in found]
+            cut, known = [self._cut(t) for t in texts], self.known
+            new = set().union(*cut).difference(known)
+            keep = len(known) < self.most
+            known.update(self._ids(list(new)))
+            out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+            for p in new:
+                if not keep or len(p) > _LONGEST:
+                    del known[p]
+            return out
         finally:
             if collects:
                 gc.enable()

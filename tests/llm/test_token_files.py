@@ -34,6 +34,19 @@ def test_ids_are_the_library_s():
         assert np.frombuffer(x, "<u4").tolist() == enc.tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_cache_of_pieces_is_bounded():
+    r, long_ = random.Random(2), "q" * (tokens._LONGEST + 1)
+    texts = [" ".join([*("".join(r.choices("abcdeé", k=r.randrange(1, 9))) for _ in range(200)), long_, "ΑΣ", "a~b"][: r.randrange(1, 204)]) for _ in range(40)]
+    for most in (0, 50, 400_000):
+        enc = tokens.Encoder(tokens.vocabulary(), most)
+        sizes = []
+        for at in range(0, len(texts), 4):
+            got = enc.encode_batch(texts[at : at + 4])
+            assert got == [enc.whole(t) for t in texts[at : at + 4]]
+            sizes.append(len(enc.known))
+        assert long_ not in enc.known and (sizes[-1] == 0 if most == 0 else sizes[-1] == sizes[0] > 50 if most == 50 else sizes[-1] > sizes[0])
+
+
 def test_documents_round_trip(spark, monkeypatch):
     monkeypatch.setattr(token_files, "IMAGE_IDS", 50)
     rows = [(i * 7 % 101, f"text {i} " * (i % 9), "s", 0) for i in range(101)] + [(None, "none", "s", 0)] * 3 + [(None, f"none {i}", "s", 0) for i in range(40)] + [(3, None, "s", 0), (3, "again", "s", 0), (200, "very long " * 30_000, "s", 0)]
