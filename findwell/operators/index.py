@@ -3,15 +3,19 @@
 ``opened`` keeps the index of a table in the shared folder, made when it is first asked for and again
 when the table's files have changed.
 
-Postings are sorted by path and token within range partitions, so a query's equality on token
-prunes row groups by their statistics; prefix and fuzzy clauses are first resolved against the
+Postings are dealt by token, those of one token over several partitions, and sorted by token and path
+within them, so a query's equality on token prunes pages by their statistics; prefix and fuzzy clauses are first resolved against the
 vocabulary, which is small, and only the terms found are looked up.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,19 +26,63 @@ from findwell.plans.query import Clause, Fuzzy, Phrase, Prefix, QueryError, Sear
 from findwell.sources.shared import shared_dir
 
 
+#: Rows of one Arrow batch of texts, and partitions that the postings of one token are dealt over.
+BATCH, SPREAD = 512, 16
+
+
+def _postings(paths: list[str]):
+    """(id, one line of tokens for each path) -> postings. A row holds all of a text, so its tokens
+    are grouped where they are: no place of a token is shuffled by itself."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for i, path in enumerate(paths):
+                lines = b.column(f"t{i}")
+                kept = pc.and_kleene(lines.is_valid(), pc.not_equal(lines, ""))
+                ids, lists = b.column("id").filter(kept), pc.split_pattern(lines.filter(kept), " ")
+                if not len(lists):
+                    continue
+                sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+                rows, words = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().dictionary_encode()
+                keys = rows * len(words.dictionary) + words.indices.to_numpy()
+                order = np.argsort(keys, kind="stable")  # places of a token stay in order
+                starts = np.flatnonzero(np.diff(keys[order], prepend=-1))
+                first, ends = order[starts], np.append(starts[1:], len(order))
+                places = (np.arange(len(rows)) - (np.cumsum(sizes) - sizes)[rows])[order].astype(np.int32)
+                row = rows[first]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([path]).take(pa.array(np.zeros(len(row), np.int64))), words.dictionary.take(words.indices.take(pa.array(first))), ids.take(pa.array(row)),
+                        pa.array(ends - starts), pa.array(sizes[row].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)).astype(np.int32)), pa.array(places)),
+                    ],
+                    names=["path", "token", "id", "tf", "len", "positions"],
+                )
+
+    return run
+
+
 def build(docs: Documents, paths: list[str], where: str, partitions: int | None = None) -> None:
-    """Write postings, vocab and path_stats below ``where``."""
+    """Write postings, vocab and path_stats below ``where``. Texts are split once."""
     spark = docs.df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fields = [F.struct(F.lit(p).alias("path"), docs.fields[p].tokens.alias("toks")) for p in paths]
-    flat = docs.df.select(docs.id.alias("id"), F.explode(F.array(*fields)).alias("f")).select("id", "f.path", "f.toks").where("toks is not null")
-    hits = flat.select("id", "path", F.size("toks").alias("len"), F.posexplode("toks").alias("pos", "token"))
-    postings = hits.groupBy("path", "token", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    postings.repartitionByRange(n, "path", "token").sortWithinPartitions("path", "token", "id").write.mode("overwrite").parquet(f"{where}/postings")
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.df.rdd.getNumPartitions())
+    lines = docs.df.select(docs.id.alias("id"), *[F.array_join(docs.fields[p].tokens, " ").alias(f"t{i}") for i, p in enumerate(paths)])
+    kind = lines.schema["id"].dataType.simpleString()
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(BATCH))
+    try:
+        postings = lines.mapInArrow(_postings(paths), f"path string, token string, id {kind}, tf long, len int, positions array<int>")
+        dealt = postings.repartition(n, "path", "token", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+        dealt.sortWithinPartitions("token", "path", "id").write.mode("overwrite").parquet(f"{where}/postings")
+    finally:
+        spark.conf.set(batch, before)
     written = spark.read.parquet(f"{where}/postings")
-    written.groupBy("path", "token").agg(F.count("*").alias("df")).sort("path", "token").write.mode("overwrite").parquet(f"{where}/vocab")
-    total = docs.df.count()
-    flat.groupBy("path").agg(F.lit(total).cast("long").alias("n_docs"), F.avg(F.size("toks")).alias("mean_len")).coalesce(1).write.mode("overwrite").parquet(f"{where}/path_stats")
+    written.groupBy("path", "token").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).sortWithinPartitions("token", "path").write.mode("overwrite").parquet(f"{where}/vocab")
+    held = [f.value if f.stored_tokens is None else f.stored_tokens for f in (docs.fields[p] for p in paths)]
+    counts = docs.df.agg(F.count("*").alias("all"), *[F.count(h).alias(f"c{i}") for i, h in enumerate(held)]).first()
+    sums = {r["path"]: r["n"] for r in spark.read.parquet(f"{where}/vocab").groupBy("path").agg(F.sum("n").alias("n")).collect()}
+    stats = [(p, counts["all"], sums.get(p, 0) / counts[f"c{i}"]) for i, p in enumerate(paths) if counts[f"c{i}"]]
+    spark.createDataFrame(stats, "path string, n_docs long, mean_len double").coalesce(1).write.mode("overwrite").parquet(f"{where}/path_stats")
 
 
 class Index:

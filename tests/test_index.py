@@ -64,3 +64,21 @@ def test_an_index_is_made_once_and_anew_for_new_files(spark, tmp_path):
     assert sorted(r["id"] for r in make().answer(parse("text:one")).collect()) == [1, 2]
     with pytest.raises(QueryError):
         first.answer(parse("text:/o.*/"))
+
+
+def test_postings_of_a_common_token_are_spread_and_whole(spark, tmp_path):
+    rows = [(i, f"the w{i % 7} the", ["a b", None, "a"]) for i in range(300)] + [(300, "", []), (301, None, None), (302, "-- !", [None]), (303, "ère the", ["a"])]
+    df = spark.createDataFrame(rows, "id long, text string, tags array<string>")
+    build(Documents(df, F.col("id"), cols=["text", "tags"]), ["text", "tags"], str(tmp_path), 8)
+    index = Index(spark, str(tmp_path))
+    got = {(r["path"], r["token"], r["id"]): (r["tf"], r["len"], r["positions"]) for r in index.postings.collect()}
+    want = {}
+    for i, text, tags in rows:
+        for path, words in (("text", (text or "").replace("-", "").replace("!", "").split()), ("tags", " ".join(t for t in tags or [] if t).split())):
+            for w in words:
+                at = [k for k, x in enumerate(words) if x == w]
+                want[path, w, i] = (len(at), len(words), at)
+    assert got == want
+    assert {(r["path"], r["n_docs"], round(r["mean_len"], 9)) for r in index.path_stats.collect()} == {("text", 304, round(902 / 303, 9)), ("tags", 304, round(901 / 303, 9))}
+    assert {(r["path"], r["token"]): r["df"] for r in index.vocab.collect()}["text", "the"] == 301
+    assert index.postings.where("token = 'the'").select(F.col("_metadata.file_path")).distinct().count() > 1
