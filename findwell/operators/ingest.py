@@ -13,8 +13,10 @@ skipped), writetime (microseconds), ttl (seconds or null) and the payload column
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -227,32 +229,59 @@ ROW = ("id", "partition_key", "seq", "op", "writetime", "ttl", "payload_json", "
 STATE = "id string, partition_key string, payload_json string, writetime long, expires_at long, dead boolean"
 
 
-def replayed(pdf: pd.DataFrame, tombstones: bool = True) -> pd.DataFrame:
-    """The state (STATE, one row or none) after one id's operations (ROW, ttl and the optional
-    expires_at as text), in order of arrival."""
-    doc = top = part = None
-    ends = FOREVER
-    for r in pdf.sort_values("seq", kind="stable").itertuples(index=False):
-        if top is not None and r.writetime <= top:
-            continue
-        if r.op == "delete":
-            doc, part, ends, top = None, r.partition_key, FOREVER, int(r.writetime) if tombstones else None
-            continue
-        deltas = r.collection_deltas if isinstance(r.collection_deltas, str) else None
-        try:
-            patch = {} if deltas and r.payload_json is None else json.loads(r.payload_json)
-        except (TypeError, ValueError):
-            continue
-        if not isinstance(patch, dict):
-            continue
-        doc = changed_collections(deep_merge(doc, patch) if doc is not None else patch, deltas)
-        top, part = int(r.writetime), r.partition_key
-        known = getattr(r, "expires_at", None)
-        ends = int(known) if isinstance(known, str) else FOREVER if not isinstance(r.ttl, str) else min(FOREVER, top + int(r.ttl) * 1_000_000)
-    if top is None:
-        return pd.DataFrame([], columns=["id", "partition_key", "payload_json", "writetime", "expires_at", "dead"])
-    text = None if doc is None else json.dumps(doc, separators=(",", ":"))
-    return pd.DataFrame([(pdf["id"].iloc[0], part, text, top, ends, doc is None)], columns=["id", "partition_key", "payload_json", "writetime", "expires_at", "dead"])
+def _folded(tombstones: bool):
+    """Operations (ROW, then the expires_at of a stored row or null), those of one id together and in
+    order of arrival, -> STATE, one row of each id or none. Only one id's document is held."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, doc, top, part, ends, out = (), None, None, None, FOREVER, []
+
+        def end() -> None:
+            if at != () and top is not None:
+                out.append((at, part, None if doc is None else json.dumps(doc, separators=(",", ":")), top, ends, doc is None))
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_STATE.types)], schema=_STATE)
+
+        for b in it:
+            for id, key, op, writetime, ttl, payload, text, known in zip(*[b.column(c).to_pylist() for c in _TAKEN], strict=True):
+                if id != at:
+                    end()
+                    at, doc, top, part, ends = id, None, None, None, FOREVER
+                if top is not None and writetime <= top:
+                    continue
+                if op == "delete":
+                    doc, part, ends, top = None, key, FOREVER, writetime if tombstones else None
+                    continue
+                try:
+                    patch = {} if text and payload is None else json.loads(payload)
+                except (TypeError, ValueError):
+                    continue
+                if not isinstance(patch, dict):
+                    continue
+                doc = changed_collections(deep_merge(doc, patch) if doc is not None else patch, text)
+                top, part = writetime, key
+                ends = known if known is not None else FOREVER if ttl is None else min(FOREVER, top + ttl * 1_000_000)
+            if out:
+                yield done()
+                out.clear()
+        end()
+        if out:
+            yield done()
+
+    return run
+
+
+_TAKEN = ("id", "partition_key", "op", "writetime", "ttl", "payload_json", "collection_deltas", "expires_at")
+_STATE = pa.schema([("id", pa.string()), ("partition_key", pa.string()), ("payload_json", pa.string()), ("writetime", pa.int64()), ("expires_at", pa.int64()), ("dead", pa.bool_())])
+
+
+def replayed(rows: DataFrame, tombstones: bool = True) -> DataFrame:
+    """The state (STATE) after operations (ROW, expires_at). Ids are dealt and sorted, and then each
+    task runs through its rows once: no call and no table for an id by itself."""
+    kinds = {"ttl": "long", "writetime": "long", "expires_at": "long"}
+    rows = rows.select("seq", *[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in _TAKEN])
+    return rows.repartition("id").sortWithinPartitions("id", F.asc_nulls_last("seq")).mapInArrow(_folded(tombstones), STATE)
 
 
 def with_deltas(ops: DataFrame) -> DataFrame:
@@ -267,6 +296,5 @@ def fold_json(ops: DataFrame, tombstones: bool = True) -> DataFrame:
     """The fold for nested JSON payloads (payload_json, collection_deltas): id, partition_key,
     payload_json, writetime, expires_at. A payload that is no JSON object is skipped and the stored
     document stays. Needs the operations of one id at a time, in order of arrival."""
-    rows = after_partition_deletes(with_deltas(ops)).select(*ROW).withColumn("ttl", F.col("ttl").cast("string"))
-    done = rows.groupBy("id").applyInPandas(lambda pdf: replayed(pdf, tombstones), STATE)
-    return done.where("not dead").drop("dead")
+    rows = after_partition_deletes(with_deltas(ops)).select(*ROW, F.lit(None).cast("long").alias("expires_at"))
+    return replayed(rows, tombstones).where("not dead").drop("dead")

@@ -100,9 +100,7 @@ def apply_batch(old: DataFrame, ops: DataFrame, clustering: tuple[str, ...] = ()
         came = rows.where("op = 'upsert'").groupBy("id", "partition_key").agg(F.min("seq").alias("seq"))
         gone = covered(came, ranges, clustering).withColumn("op", F.lit("delete"))
         rows = rows.unionByName(gone, allowMissingColumns=True)
-    rows = after_partition_deletes(rows).select(*ROW, "expires_at")
-    rows = rows.withColumn("ttl", F.col("ttl").cast("string")).withColumn("expires_at", F.col("expires_at").cast("string"))
-    return rows.groupBy("id").applyInPandas(lambda pdf: replayed(pdf), STATE)
+    return replayed(after_partition_deletes(rows).select(*ROW, "expires_at"))
 
 
 def _bucket(partition_key, of: int):

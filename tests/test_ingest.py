@@ -155,3 +155,17 @@ def test_results_are_kept_and_seed_rows_are_stable(spark, tmp_path):
     one, two = products(spark, 20).collect(), products(spark, 50).where("product_id < 20").collect()
     assert sorted(map(str, one)) == sorted(map(str, two)) and len(one[0]) == 14
     assert all(1 <= r["rating"] <= 5 and r["updated_at"] >= r["created_at"] and r["attributes"]["colour"] for r in one)
+
+
+def test_ids_are_folded_in_one_pass_over_sorted_rows(spark):
+    """Operations of an id that lie in several Arrow batches, among many ids; nothing is run id by id."""
+    rows = [(s, "s", "row_update", f"i{s % 7}", "p", 1000 + s, 5 if s % 2 else None, json.dumps({f"k{s % 5}": s})) for s in range(200)]
+    rows += [(300 + i, "s", "row_insert", f"j{i}", "p", 2**60 + i, None, '{"x":1}') for i in range(50)]
+    df = spark.createDataFrame(rows, OPS).withColumn("op", ingest.classify(F.col("op")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        done = ingest.fold_json(df)
+        assert as_docs(done) == sequential(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in done._jdf.queryExecution().toString()
