@@ -13,7 +13,8 @@ A query starts from its own class's neighbours, forward and reverse. Round after
 packed graph (neighbours with their vectors), and what is nearer than the beam's last joins the
 beam. The beam's best ``FINAL`` are scored on the original vectors in double precision.
 
-Graph and search use vectors quantised to 8 bits; the reported scores do not. Work grows with
+Graph and search use 32-bit floats; the reported scores double precision. 8 bits of the largest
+component's range are too coarse where one vector is long or many lie close together. Work grows with
 vectors times degree squared, and with queries times beam: never with queries times vectors.
 
 Defined cases: vectors that are null, zero, hold a null or non-finite component, or differ in
@@ -64,19 +65,21 @@ def _first(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
 
 
-def _quantiser(scale: float):
+def _packer(scale: float):
+    """Vectors as bytes of 32-bit floats; ``scale``, a power of two, keeps products finite."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if b.num_rows:
                 v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                q = np.rint(v * scale).astype(np.int8)
+                q = (v * scale).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in q], pa.binary())], names=["id", "q"])
 
     return run
 
 
 def _vectors(column, n: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(n, -1).astype(np.float32) if n else np.zeros((0, 1), np.float32)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(n, -1) if n else np.zeros((0, 1), np.float32)
 
 
 def _cells(planes: np.ndarray):
@@ -144,7 +147,7 @@ def both_ways(graph: DataFrame) -> DataFrame:
 
 def descend(vectors: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """The neighbour graph (src, dst, sim) of (id, q)."""
-    dim = len(vectors.first()["q"])
+    dim = len(vectors.first()["q"]) // 4
     bits = max(0, math.ceil(math.log2(max(1, n / (CELL / 2)))))
     planes = np.random.default_rng(7).standard_normal((TABLES + 1, dim, bits)).astype(np.float32)
     celled = scratch.keep(vectors.mapInArrow(_cells(planes), "t int, cell long, id long, q binary"), "cells")
@@ -216,7 +219,7 @@ def search(rows: DataFrame, every: int = 20, scratch: Scratch | None = None) ->
     queries = hashed.where(F.col("vec_id") % every == 0).join(classes, ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), F.col("id"))
     starts = queries.select("id").distinct()
     largest = nodes.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0]
-    vectors = scratch.keep(nodes.select("id", "v").mapInArrow(_quantiser(127.0 / largest), "id long, q binary"), "vectors")
+    vectors = scratch.keep(nodes.select("id", "v").mapInArrow(_packer(math.ldexp(1.0, min(1000, -math.frexp(largest)[1]))), "id long, q binary"), "vectors")
     beam = walk(starts, vectors, descend(vectors, n, scratch), scratch)
     beam = beam.select("src", "dst").where("src <> dst").unionByName(starts.select(F.col("id").alias("src"), F.col("id").alias("dst")))
     a, b = nodes.select(F.col("id").alias("src"), F.col("v").alias("x")), nodes.select(F.col("id").alias("dst"), F.col("v").alias("y"))

@@ -40,3 +40,16 @@ def test_copies_ties_and_unusable(spark):
     assert got[0] == list(range(1, 21)) and got[20] == [*range(20)] and got[100] == [101, *range(19)]
     assert search(spark.createDataFrame([(20, v, 0)], SCHEMA)).count() == 0
     assert search(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_long_vector_does_not_blur_the_others(spark):
+    r = np.random.default_rng(2)
+    x = r.standard_normal((600, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= 1000
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for g in search(spark.createDataFrame([(*r_, 0) for r_ in rows], SCHEMA)).collect():
+        got.setdefault(g["query_id"], set()).add(g["vec_id"])
+    found = sum(len(hits & {i for _, i in brute(rows, q)}) for q, hits in got.items())
+    assert len(got) == 30 and found / (TOP * len(got)) >= 0.9
